@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
+from .decontaminate import op3_decontaminate
 from .mixing import OP7_SQL, op7_mixing
+from .ngram_join import op2_ngram_join
 from .revisits import OP4_SQL, op4_revisits
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op3_decontaminate": op3_decontaminate,
     "op4_revisits": op4_revisits,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
