@@ -8,11 +8,13 @@ from .mixing import OP7_SQL, op7_mixing
 from .ngram_join import op2_ngram_join
 from .revisits import OP4_SQL, op4_revisits
 from .sharding import op8_sharding
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_revisits": op4_revisits,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
