@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import op3_decontaminate
+from .graph_index import op5_nearest
 from .mixing import OP7_SQL, op7_mixing
 from .ngram_join import op2_ngram_join
 from .revisits import OP4_SQL, op4_revisits
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_revisits": op4_revisits,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
