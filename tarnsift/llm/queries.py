@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import op3_decontaminate
 from .graph_index import op5_nearest
+from .language_model import op10_language_model
 from .mixing import OP7_SQL, op7_mixing
 from .ngram_join import op2_ngram_join
 from .revisits import OP4_SQL, op4_revisits
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_language_model": op10_language_model,
 }
 ORACLES = {
     "op4_revisits": OP4_SQL,
