@@ -8,11 +8,13 @@ from .graph_index import op5_nearest
 from .language_model import op10_language_model
 from .mixing import OP7_SQL, op7_mixing
 from .ngram_join import op2_ngram_join
+from .repeats import op1_repeats
 from .revisits import OP4_SQL, op4_revisits
 from .sharding import op8_sharding
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_revisits": op4_revisits,
