@@ -29,7 +29,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tarnsift/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote; nothing that is still to be computed may read it."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Ids up to so many are broadcast to leave documents out; more are joined by a shuffle.
+BROADCAST_IDS = 300_000
+
+
+def without_ids(docs: DataFrame, bad: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in bad, a written table of one column; a null id matches itself."""
+    bad = bad.toDF("_without")
+    few = bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if few else bad, docs[id_col].eqNullSafe(F.col("_without")), "left_anti")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table, without_ids
 
 #: Template words of a window.
 WINDOW = 8
@@ -37,14 +37,18 @@ UNITS = (
 )
 
 
+#: ASCII and general punctuation and signs.
+PUNCTUATION = r"[!-/:-@\[-`{-~¡-¿\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]"
+
+
 def template_text(text: Column) -> Column:
     """Text with typed placeholders, lower case and without punctuation; white space is untouched, so
     its words stand at the places of the text's words."""
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:]\s)\p{Lu}[\p{L}'’-]*", "⟨name⟩")
-    text = F.regexp_replace(text, r"\p{N}+(?:[.,:/]\p{N}+)*", "⟨num⟩")
-    text = F.regexp_replace(text, rf"(?i)(⟨num⟩\s?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", "$1⟨unit⟩")
-    text = F.regexp_replace(text, r"[$€£%°]", "⟨unit⟩")
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}⟨⟩\x20\x09-\x0D]+", ""))
+    # the capital is tested before what stands before it, which is rarer than the other way round
+    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:]\s\p{Lu})[\p{L}'’-]*", "⟨name⟩")
+    text = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", "⟨num⟩")
+    text = F.regexp_replace(text, rf"⟨num⟩(\s?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", "⟨num⟩$1⟨unit⟩")
+    return F.lower(F.regexp_replace(text, f"{PUNCTUATION}+", ""))
 
 
 def is_slot(word: Column) -> Column:
@@ -52,37 +56,39 @@ def is_slot(word: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Words between white space; leading white space leaves no empty word."""
-    return F.split(F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", ""), SPACE)
+    return F.split(text, SPACE)
+
+
+def _trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _windows(df: DataFrame, window: int) -> DataFrame:
-    """df: id, raw (trimmed text).  One row a text with its words, template words and window hashes."""
+    """df: id, raw (trimmed text).  One row a window: id, raw, template (all its words), at, hash.
+
+    The windows are dealt out before they are hashed, so that both run in compiled code, and a row is
+    made only of those that the join keeps."""
     df = df.filter(F.col("raw").isNotNull() & (F.col("raw") != ""))
-    df = df.select("id", _words(F.col("raw")).alias("words"), _words(template_text(F.col("raw"))).alias("template"))
     # words made of punctuation alone leave empty template words, never fewer
-    df = df.filter((F.size("template") >= window) & (F.size("words") == F.size("template")))
-    return df.withColumn("hashes", F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("template") - (window - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice("template", i, window)),
-    ))
-
-
-def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    df = df.select("id", "raw", _words(template_text(F.col("raw"))).alias("template"))
+    # outer, and no filter by the words: else the optimiser computes the template once more for it;
+    # a text that is too short has one window with nulls, which equals none of the benchmark's
+    places = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("template") - window, F.lit(0))))
+    return df.select("id", "raw", "template", places.alias("at")).withColumn(
+        "hash", F.xxhash64(*[F.get("template", F.col("at") + k) for k in range(window)]))
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_literals: int) -> DataFrame:
     rows = _windows(items.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")).dropDuplicates(["id"]), window)
     rows = rows.select(
-        F.col("id").alias("item_id"), "words", "template", F.size("template").alias("item_words"),
-        F.posexplode_outer("hashes").alias("item_at", "hash"),
+        F.col("id").alias("item_id"), F.size("template").alias("item_words"), F.col("at").alias("item_at"), "hash",
+        F.slice("template", F.col("at") + 1, window).alias("item_template"), F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("item_window"),
     )
-    rows = rows.withColumn("item_template", F.slice("template", F.col("item_at") + 1, window)).withColumn(
-        "item_window", F.slice("words", F.col("item_at") + 1, window))
+    rows = rows.filter(F.col("item_words") >= window)
     literals = F.size(F.filter("item_template", lambda w: ~is_slot(w) & (w != "")))
     # windows that are mostly slots say nothing; an item's need counts only windows that can match
-    return rows.filter(literals >= min_literals).select("item_id", "item_at", "item_words", "hash", "item_template", "item_window")
+    return rows.filter(literals >= min_literals).select(
+        "item_id", "item_at", "item_words", "hash", "item_template", "item_window", F.array_join("item_template", " ").alias("item_text"))
 
 
 def leaks(
@@ -103,14 +109,13 @@ def leaks(
     if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
     rows = _windows(docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")), window)
-    found = (
-        # outer: else the optimiser filters by the size of hashes and computes them a second time
-        rows.select("id", "words", "template", F.posexplode_outer("hashes").alias("at", "hash"))
-        .join(bench, "hash")
-        .select("id", "at", "item_id", "item_at", "item_words", "item_template", "item_window",
-                F.slice("template", F.col("at") + 1, window).alias("template"),
-                F.slice("words", F.col("at") + 1, window).alias("words"))
-        .filter(F.col("template") == F.col("item_template"))
+    # equality by two prefixes: as an equation it would be a join key, computed for every window, and as
+    # a lambda it would keep the join out of compiled code, so that every window became a row
+    here, there = F.array_join(F.slice("template", F.col("at") + 1, window), " "), F.col("item_text")
+    found = rows.join(bench, (rows["hash"] == bench["hash"]) & here.startswith(there) & there.startswith(here)).select(
+        "id", "at", "item_id", "item_at", "item_words", "item_template", "item_window",
+        F.slice("template", F.col("at") + 1, window).alias("template"),
+        F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("words"),
     )
     pairs = F.filter(
         F.transform(F.arrays_zip("item_template", "item_window", "words"), lambda x: F.struct(
@@ -141,9 +146,9 @@ def _bare(word: Column) -> Column:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark passage.  A null id matches itself."""
-    bad = leaks(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+    """docs without the documents that hold a benchmark passage."""
+    bad = materialize(leaks(docs, items, id_col=id_col, **options).select(id_col).distinct(), "leaks")
+    return without_ids(docs, bad, id_col)
 
 
 def op3_decontaminate(spark, sf_dir) -> DataFrame:
