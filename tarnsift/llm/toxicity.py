@@ -242,7 +242,7 @@ def scores(net: Network | None, column: pa.Array) -> np.ndarray:
         begin, length, rows = windows(words.row_bounds)
         if len(begin):
             top = worst(net.logits(words, begin, length), rows, len(offsets) - 1)
-            out[first:first + len(top)] = 1 / (1 + np.exp(-np.clip(top, -700, 700)))
+            out[first:first + len(top)] = np.where(np.isfinite(top), 1 / (1 + np.exp(-np.clip(top, -700, 700))), 0.0)
     return out
 
 
