@@ -91,6 +91,33 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int,
         "item_id", "item_at", "item_words", "hash", "item_template", "item_window", F.array_join("item_template", " ").alias("item_text"))
 
 
+_ITEM = ["item_id", "item_at", "item_words", "item_template", "item_window"]
+
+
+def _found_at_once(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """Windows that equal one of a benchmark small enough to be broadcast."""
+    # equality by two prefixes: as an equation it would be a join key, computed for every window, and as
+    # a lambda it would keep the join out of compiled code, so that every window became a row
+    here, there = F.array_join(F.slice("template", F.col("at") + 1, window), " "), F.col("item_text")
+    return rows.join(bench, (rows["hash"] == bench["hash"]) & here.startswith(there) & there.startswith(here)).select(
+        "id", "at", *_ITEM,
+        F.slice("template", F.col("at") + 1, window).alias("template"),
+        F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("words"),
+    )
+
+
+def _found_by_shuffle(docs: DataFrame, rows: DataFrame, bench: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """The same for any benchmark: only (id, at, hash) are dealt by hash; a text's hits then meet it."""
+    hits = rows.select("id", "at", "hash").join(bench, "hash").groupBy("id").agg(
+        F.collect_list(F.struct("at", *_ITEM)).alias("hits")).withColumnRenamed("id", "_hit")
+    texts = docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw"))
+    texts = texts.join(hits, texts["id"].eqNullSafe(F.col("_hit"))).select("id", "hits", _words(template_text(F.col("raw"))).alias("template"), _words(F.col("raw")).alias("words"))
+    cut = F.transform("hits", lambda h: F.struct(
+        *[h[c].alias(c) for c in ("at", *_ITEM)],
+        F.slice("template", h["at"] + 1, window).alias("template"), F.slice("words", h["at"] + 1, window).alias("words")))
+    return texts.select("id", F.inline(cut)).filter(F.col("template") == F.col("item_template"))
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -106,17 +133,11 @@ def leaks(
     """One row for each document and benchmark item whose passage it holds: id_col, item_id,
     n_windows, n_words (covered), n_slots, n_changed (slots whose values differ)."""
     bench = benchmark_windows(items, item_id_col, item_text_col, window, min_literals)
-    if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
     rows = _windows(docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")), window)
-    # equality by two prefixes: as an equation it would be a join key, computed for every window, and as
-    # a lambda it would keep the join out of compiled code, so that every window became a row
-    here, there = F.array_join(F.slice("template", F.col("at") + 1, window), " "), F.col("item_text")
-    found = rows.join(bench, (rows["hash"] == bench["hash"]) & here.startswith(there) & there.startswith(here)).select(
-        "id", "at", "item_id", "item_at", "item_words", "item_template", "item_window",
-        F.slice("template", F.col("at") + 1, window).alias("template"),
-        F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("words"),
-    )
+    if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        found = _found_at_once(rows, F.broadcast(bench), window)
+    else:
+        found = _found_by_shuffle(docs, rows, bench, window, id_col, text_col)
     pairs = F.filter(
         F.transform(F.arrays_zip("item_template", "item_window", "words"), lambda x: F.struct(
             x["item_template"].alias("kind"), _bare(x["item_window"]).alias("item"), _bare(x["words"]).alias("doc"))),
