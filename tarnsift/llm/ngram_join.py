@@ -8,9 +8,10 @@ are verified on the sets.
 Points that can link meet as follows.  Sets that link differ in at most D shingles, D known from
 their sizes.  The shingles of a set are dealt by hash into more than D parts, so two such sets have a
 part in common, whole; a part's hash is a key.  Parts of few shingles are left out where the number of
-parts proves that a larger common one remains.  So no link is lost, and a passage that many documents
-share gives no common key unless it fills a part.  Sets joined by keys form cells; each cell is
-indexed by R-trees, large cells in blocks.  Equal sets are one point throughout.
+parts proves that a larger common one remains, and so are the shingles of passages that very many
+documents share, unless too little is left of a set, which then gives keys of all its shingles too.
+So no link is lost, whichever shingles are taken for common.  Sets joined by keys form cells; each
+cell is indexed by R-trees, large cells in blocks.  Equal sets are one point throughout.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; repeated
 rows and equal sets are one class; a null id counts as larger than any other; an empty table gives an
@@ -27,19 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import discard, materialize, shuffle_partitions, table, without_ids
 from .components import components
+from .packing import SENT, pack, sent, unpack
 from .textkernel import grouped_sums, mix, pieces, shingle_sets
 
 _U = np.uint64
-#: Shingles with at most so many in a part are left out where that loses nothing.
-LIGHT = 2
+#: Parts of at most so many shingles are left out where that loses nothing.
+LIGHT = 1
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Groups of the count vectors.
 GROUPS = 64
 #: A block of a cell holds at most about so many points and shingles.
-BLOCK_POINTS, BLOCK_SHINGLES = 4096, 2_000_000
+BLOCK_POINTS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Shingles taken for common: at most so many, in at least LOCAL sets of a piece and TOTAL in all such.
+COMMON, LOCAL, TOTAL = 200_000, 3, 64
 #: Cell members up to so many are broadcast to read their texts again; more are joined by a shuffle.
 BROADCAST_MEMBERS = 300_000
 
@@ -71,43 +75,74 @@ class Band:
     parts: int
 
 
+def _band(low: int, high: int, most: int) -> Band:
+    """As few parts as leave the smallest sets of the band, but for one in a hundred or so, enough
+    heavy ones."""
+    for quarters in (5, 6, 7, 8, 10, 12):
+        parts = most * quarters // 4 + 2
+        each = low / parts
+        light = np.exp(-each) * (1 + each)
+        if light + 2.5 * np.sqrt(light * (1 - light) / parts) < 1 - most / parts:
+            break
+    return Band(low, high, most, parts)
+
+
 def bands(t: Threshold, longest: int) -> list[Band]:
     """Any two sizes that can link lie together in a band: bands of sizes, and one across each border."""
     out, low = [], 1
     while low <= longest:
-        high = max(low + 1, low * 3 // 2)
+        high = max(low + 1, low * 7 // 5)
         most = t.differing(2 * high - 2)
         if most:
-            out.append(Band(low, high - 1, most, most + most // 4 + 2))
+            out.append(_band(low, high - 1, most))
         under, over = -(-t.num * high // t.den), (high - 1) * t.den // t.num
         if under < high <= over:
             most = t.differing(high - 1 + over)
             if most:
-                out.append(Band(under, over, most, most + most // 4 + 2))
+                out.append(_band(under, over, most))
         low = high
     return out
 
 
-def part_keys(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the set) of all parts that may have to meet."""
+def _parts(values, of, n_sets, b: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and sizes of the parts of sets, which parts are heavy, and which sets have so few light
+    ones that a heavy part is common with every set they link to."""
+    part = of * b.parts + (mix(values) % _U(b.parts)).astype(np.int64)
+    count = np.bincount(part, minlength=n_sets * b.parts)
+    heavy = count > LIGHT
+    spare = (~heavy).reshape(n_sets, b.parts).sum(1) < b.parts - b.most
+    return grouped_sums(part, values, n_sets * b.parts), count, heavy, spare
+
+
+def part_keys(sets: list[np.ndarray], t: Threshold, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of the set) of all parts that may have to meet.
+
+    Heavy parts of the shingles that are not common always are; a set for which these may not do also
+    gives parts of all its shingles, the light ones too if the heavy ones may not do."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     keys, owners = [], []
     for number, b in enumerate(bands(t, int(sizes.max(initial=0)))):
         own = np.flatnonzero((sizes >= b.low) & (sizes <= b.high))
         if not len(own):
             continue
-        values = np.concatenate([sets[i] for i in own])
-        of = np.repeat(np.arange(len(own)), sizes[own])
-        part = of * b.parts + (mix(values) % _U(b.parts)).astype(np.int64)
-        count = np.bincount(part, minlength=len(own) * b.parts)
-        sums = grouped_sums(part, values, len(own) * b.parts)
-        light = (count <= LIGHT).reshape(len(own), b.parts)
-        spare = light.sum(1) < b.parts - b.most  # a larger common part remains
-        keep = ~(light & spare[:, None]).ravel()
-        at = np.flatnonzero(keep)
-        salt = (at % b.parts).astype(_U) + _U((number + 1) << 32)
-        keys.append(mix(sums[at] ^ mix(salt + (count[at].astype(_U) << _U(48)))))
-        owners.append(own[at // b.parts])
+        values, of = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), sizes[own])
+        rare = np.ones(len(values), bool)
+        if common is not None and len(common):
+            at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+            rare = common[at] != values
+        short = np.ones(len(own), bool)
+        for kind in (0, 1):
+            take = rare if kind == 0 else short[of]
+            sums, count, heavy, spare = _parts(values[take], of[take], len(own), b)
+            if kind:
+                heavy = (heavy.reshape(len(own), -1) | ~spare[:, None]) & short[:, None]
+            at = np.flatnonzero(heavy.ravel())
+            salt = (at % b.parts).astype(_U) + _U((2 * number + kind + 1) << 32)
+            keys.append(mix(sums[at] ^ mix(salt + (count[at].astype(_U) << _U(48)))))
+            owners.append(own[at // b.parts])
+            short = ~spare
+            if not short.any():
+                break
     if not keys:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
@@ -207,7 +242,6 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> list
 # --- operator --------------------------------------------------------------------------------
 
 _SIZES = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())])
-_PACKED = pa.schema([("bin", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
@@ -225,39 +259,55 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, set_id long")
 
 
-def packed_keys(docs: DataFrame, size: int, t: Threshold, bins: int) -> DataFrame:
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of at most COMMON shingles of many sets.  They only make the keys more telling."""
+
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in pieces(b.column(1)):
+                sets = shingle_sets(data, offsets, size)
+                first = np.unique(set_ids(sets), return_index=True)[1]
+                values, n = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+                own = n >= LOCAL
+                yield pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(n[own])], names=["shingle", "n"])
+
+    counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= TOTAL)
+    rows = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON).select("shingle").collect()
+    return np.sort(np.array([r.shingle for r in rows], np.int64).view(_U))
+
+
+def packed_keys(docs: DataFrame, size: int, t: Threshold, bins: int, common: np.ndarray) -> DataFrame:
     """Keys of all sets, dealt to bins by key, each bin's share of a task as one row."""
 
-    def pack(keys, owners):
+    def share(keys, owners):
         bin_of = (keys % _U(bins)).astype(np.int64)
         order = np.lexsort((owners, keys, bin_of))
         keys, owners, bin_of = keys[order], owners[order], bin_of[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
         keys, owners, bin_of = keys[new], owners[new], bin_of[new]
-        at = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]]) if len(keys) else np.zeros(0, int)
-        ends = np.r_[at[1:], len(keys)]
-        return pa.RecordBatch.from_arrays([
-            pa.array(bin_of[at], pa.int32()),
-            pa.array([keys[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-            pa.array([owners[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-        ], schema=_PACKED)
+        edge, rows = np.searchsorted(bin_of, np.arange(bins + 1)), []
+        for i in range(bins):
+            if edge[i] < edge[i + 1]:
+                names, which = np.unique(owners[edge[i]:edge[i + 1]], return_inverse=True)
+                rows.append((i, 0, 0, pack(keys[edge[i]:edge[i + 1]], which.astype(np.uint32), names)))
+        return sent(rows)
 
     def run(batches):
         held, n = [], 0
         for b in batches:
             for _, data, offsets in pieces(b.column(1)):
                 sets = shingle_sets(data, offsets, size)
-                keys, owner = part_keys(sets, t)
+                keys, owner = part_keys(sets, t, common)
                 held.append((keys, set_ids(sets)[owner]))
                 n += len(keys)
                 if n >= FLUSH:
-                    yield pack(*map(np.concatenate, zip(*held)))
+                    yield share(*map(np.concatenate, zip(*held)))
                     held, n = [], 0
         if n:
-            yield pack(*map(np.concatenate, zip(*held)))
+            yield share(*map(np.concatenate, zip(*held)))
 
-    return docs.mapInArrow(run, "bin int, keys binary, owners binary")
+    return docs.mapInArrow(run, SENT)
 
 
 def meetings(packed: DataFrame, bins: int) -> DataFrame:
@@ -268,8 +318,9 @@ def meetings(packed: DataFrame, bins: int) -> DataFrame:
         # a task has whole bins; a bin holds about entries / bins keys
         held: dict[int, list] = {}
         for b in batches:
-            for i, k, o in zip(*(b.column(c).to_pylist() for c in range(3))):
-                held.setdefault(i, []).append((np.frombuffer(k, _U), np.frombuffer(o, np.int64)))
+            for i, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                keys, which, names = unpack(body, "u8", "u4", "i8")
+                held.setdefault(i, []).append((keys, names[which]))
         for parts in held.values():
             keys, owners = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((owners, keys))
@@ -284,41 +335,44 @@ def meetings(packed: DataFrame, bins: int) -> DataFrame:
     return packed.repartition(bins, "bin").mapInArrow(run, "a long, b long").distinct()
 
 
-def member_sets(docs: DataFrame, cells: DataFrame, size: int) -> DataFrame:
-    """(cell, set_id, n, shingles) of the sets in cells, one row each, from one document of the class.
+def in_cells(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set_id, cell, own, chunks): the sets that met others, each in a chunk of its cell."""
+    found = components(met)
+    cells = materialize(found.select(F.col("node").alias("set_id"), F.col("root").alias("cell")).join(classes, "set_id"), "cells")
+    chunks = cells.groupBy("cell").agg(F.greatest(
+        F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_POINTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int")
+    return materialize(cells.join(chunks, "cell").select(F.col("first").alias("id"), "set_id", "cell", own.alias("own"), "chunks"), "cells")
+
+
+def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """(a, b): links that connect what links connect, cell by cell, large cells by pairs of chunks.
 
-    cells: (id, set_id, cell)."""
+    The sets are made again from one document of each class, and travel once for each other chunk."""
     few = cells.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
-    side = cells.select(F.col("id").alias("_id"), "set_id", "cell")
-    joined = docs.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("_id"))).select("text", "set_id", "cell")
+    side = cells.withColumnRenamed("id", "_id")
+    joined = docs.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("_id")))
 
-    def run(batches):
+    def sets_of(batches):
         for b in batches:
-            wanted, cell = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            wanted = b.column(1).to_numpy(zero_copy_only=False)
             for first, data, offsets in pieces(b.column(0)):
                 sets = shingle_sets(data, offsets, size)
                 got = set_ids(sets)
-                keep = [i for i in range(len(sets)) if got[i] == wanted[first + i]]  # ids may repeat
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([cell[first + i] for i in keep], pa.int64()), pa.array([got[i] for i in keep], pa.int64()),
-                    pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()),
-                ], names=["cell", "set_id", "n", "shingles"])
-
-    return joined.mapInArrow(run, "cell long, set_id long, n long, shingles binary").dropDuplicates(["set_id"])
+                keep = np.flatnonzero(got == wanted[first:first + len(got)])  # ids may repeat
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(c).take(pa.array(keep + first)) for c in (1, 2, 3, 4)] + [pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                    names=["set_id", "cell", "own", "chunks", "shingles"])
 
-
-def cell_links(members: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): links that connect what links connect, cell by cell, large cells by pairs of chunks."""
-    chunks = members.groupBy("cell").agg(F.greatest(
-        F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_POINTS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("chunks"))
-    rows = members.join(chunks, "cell").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    rows = joined.select("text", "set_id", "cell", "own", "chunks").mapInArrow(
+        sets_of, "set_id long, cell long, own int, chunks int, shingles binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         "set_id", "shingles")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("set_id")
+        pdf = pdf.drop_duplicates("set_id").sort_values("set_id")
         ids = pdf.set_id.to_numpy()
         found = links_within([np.frombuffer(x, _U) for x in pdf.shingles], pdf.side.to_numpy(), t)
         return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
@@ -329,22 +383,45 @@ def cell_links(members: DataFrame, t: Threshold) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, threshold: Threshold = Threshold(),
 ) -> DataFrame:
-    """(id, n_shingles, component) of every row; component is the smallest id reachable by links."""
+    """(id, set_id, n_shingles, component) of every row; component is the smallest id reachable by links."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bins = shuffle_partitions(spark)
     rows = materialize(set_table(narrow, size), "sets")
-    classes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"))
-    met = materialize(meetings(packed_keys(narrow, size, threshold, bins), bins), "meetings")
-    cells = components(met).select(F.col("node").alias("set_id"), F.col("root").alias("cell"))
-    cells = materialize(cells.join(classes, "set_id").select(F.col("first").alias("id"), "set_id", "cell"), "cells")
-    members = materialize(member_sets(narrow, cells, size), "members")
-    roots = components(materialize(cell_links(members, threshold), "links"))
+    classes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"))
+    common = common_shingles(narrow, size)
+    met = materialize(meetings(packed_keys(narrow, size, threshold, bins, common), bins), "meetings")
+    cells = in_cells(met, classes)
+    discard(met)
+    roots = components(materialize(cell_links(narrow, cells, size, threshold), "links"))
+    classes = classes.select("set_id", "first")
     named = roots.withColumnRenamed("node", "set_id").join(classes, "set_id")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("set_id", "component")
     final = materialize(classes.join(named, "set_id", "left").select("set_id", F.coalesce("component", "first").alias("component")), "classes")
-    full = rows.filter("n_shingles > 0").join(final, "set_id").select("id", "n_shingles", "component")
-    return full.unionByName(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
+    full = rows.filter("n_shingles > 0").join(final, "set_id").select("id", "set_id", "n_shingles", "component")
+    return full.unionByName(rows.filter("n_shingles = 0").select("id", "set_id", "n_shingles", F.col("id").alias("component")))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the smallest id of each component.  Rows of one id and set are one document; rows of
+    one id and different sets are judged each; documents without words all stay."""
+    found = materialize(jaccard_components(docs, id_col=id_col, text_col=text_col, **options), "components")
+    if not found.groupBy("id").count().filter("count > 1").limit(1).count():
+        bad = materialize(found.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id"), "bad")
+        return without_ids(docs, bad, id_col)
+    size = options.get("size", 4)
+
+    @F.arrow_udf("long")
+    def set_of(text: pa.Array) -> pa.Array:
+        parts = [set_ids(shingle_sets(data, offsets, size)) for _, data, offsets in pieces(text)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "set_id").agg(F.max("n_shingles").alias("_n"))
+    kept = kept.withColumnRenamed("id", "_kept").withColumnRenamed("set_id", "_kept_set")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), set_of(F.col(text_col)).alias("_set")).join(
+        kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_set") == F.col("_kept_set")))
+    first = rows.filter("_n > 0").groupBy("_id", "_set").agg(F.first("_row").alias("_row")).select("_row.*")
+    return first.unionByName(rows.filter("_n = 0").select("_row.*"))
 
 
 def op2_ngram_join(spark, sf_dir) -> DataFrame:
