@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnsift.functions import text
 from tarnsift.operators import contingency as con
 from tarnsift.operators import graph, metrics, normalize, paths, ranking
+from tarnsift.operators import evidence as evid
 from tarnsift.operators import interactions as inter
 from tarnsift.operators import relation as rel
 from tarnsift.streaming import events as stream
@@ -702,6 +703,119 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.element_at(s, 1).alias("first_supp"), F.size(s).cast("long").alias("n_supp"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
 
 
+# --- evidence --------------------------------------------------------------------------------
+
+VARIANTS = """, va AS (SELECT CASE WHEN l_suppkey % 10 = 0 THEN '-' ELSE 'g' || l_suppkey END AS gene, round(l_tax / 10, 6) AS p, round(l_quantity / 50, 4) AS link, l_partkey AS variant, l_orderkey % 50 AS study FROM lineitem)"""
+
+
+def _variants(t):
+    gene = F.when(F.col("l_suppkey") % 10 == 0, "-").otherwise(F.concat(F.lit("g"), F.col("l_suppkey").cast("string")))
+    return t.lineitem.select(gene.alias("gene"), F.round(F.col("l_tax") / 10, 6).alias("p"), F.round(F.col("l_quantity") / 50, 4).alias("link"), F.col("l_partkey").alias("variant"), (F.col("l_orderkey") % 50).alias("study"))
+
+
+@query("max_thresholded", VARIANTS + " SELECT gene, round(max(-log10(p) * link), 6) AS score FROM va WHERE p <= 0.006 AND link >= 0.5 AND p > 0 GROUP BY 1")
+def _(t):
+    return evid.best_variant(_variants(t), 0.006, 0.5).select("gene", F.round("score", 6).alias("score"))
+
+
+@query("excluded_assocs", VARIANTS + " SELECT DISTINCT gene FROM va WHERE gene NOT IN (SELECT gene FROM va WHERE p <= 0.0005 AND link >= 0.99 AND p > 0)")
+def _(t):
+    v = _variants(t)
+    return rel.exclude_keys(v.select("gene").distinct(), evid.best_variant(v, 0.0005, 0.99), "gene")
+
+
+@query("gene_signature", VARIANTS + " SELECT gene, round(avg(link), 6) AS score, count(*) AS n FROM va WHERE gene <> '-' GROUP BY 1")
+def _(t):
+    return evid.gene_signature(_variants(t).withColumnRenamed("link", "score"))
+
+
+@query("study_summary", VARIANTS + """, g AS (SELECT DISTINCT variant, gene FROM va WHERE gene <> '-') SELECT study, count(DISTINCT x.variant) AS n_variants, count(DISTINCT g.gene) AS n_genes
+  FROM (SELECT DISTINCT study, variant FROM va) x LEFT JOIN g ON x.variant = g.variant GROUP BY 1""")
+def _(t):
+    v = _variants(t)
+    return evid.study_summary(v.select("study", "variant").distinct(), v.select("variant", "gene").distinct())
+
+
+@query("variant_quality", """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey > 1900 THEN 'position' WHEN lower(l_returnflag) NOT IN ('a', 'c', 'g', 't') THEN 'allele' WHEN l_discount - 0.01 < 0 THEN 'maf' WHEN (l_discount - 0.01) * l_quantity * 100 / 2 <= 25 THEN 'count' END AS reject_reason FROM lineitem""")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("pos"), F.col("l_tax").cast("string").alias("p"), F.col("l_returnflag").alias("allele"), (F.col("l_discount") - 0.01).alias("maf"), (F.col("l_quantity") * 100).alias("n"))
+    return evid.variant_quality(rows, F.lit(1900)).select("l_orderkey", "l_linenumber", "reject_reason")
+
+
+@query("earliest_date", "SELECT l_orderkey, min(CASE WHEN year(l_shipdate) BETWEEN 1994 AND 1996 THEN l_shipdate ELSE TIMESTAMP '1997-06-01' END) AS earliest FROM lineitem GROUP BY 1")
+def _(t):
+    return evid.earliest(t.lineitem, "l_orderkey", F.col("l_shipdate"), F.lit("1997-06-01").cast("timestamp_ntz"), 1994, 1996)
+
+
+@query("demographic_filter", "SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0 AND c_nationkey <> 0 AND c_nationkey >= 5.5 AND c_nationkey <= 20")
+def _(t):
+    sex = F.when(F.col("c_nationkey") % 2 == 0, "m").otherwise("f")
+    return t.customer.filter(evid.demographic_filter("ma>5.5a<20", sex, F.col("c_nationkey"))).select("c_custkey")
+
+
+@query("demo_dedupe", """SELECT o_custkey AS "case", list_sort(list(o_orderstatus))[count(*) // 2 + 1] AS sex, median(CAST(o_totalprice AS DOUBLE)) AS age, median(CAST(o_orderkey AS DOUBLE)) AS weight, max(o_orderpriority) AS reporter FROM orders GROUP BY 1""")
+def _(t):
+    return evid.case_demographics(t.orders.select(F.col("o_custkey").alias("case"), F.col("o_orderstatus").alias("sex"), F.col("o_totalprice").alias("age"), F.col("o_orderkey").cast("double").alias("weight"), F.col("o_orderpriority").alias("reporter")))
+
+
+@query("fuzzy_name", """, n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN 'x/' || p_type WHEN 2 THEN p_type || ' sodium' ELSE 'none' END AS name FROM part), v AS (SELECT lower(p_type) AS term, min(p_partkey) AS id FROM part GROUP BY 1)
+  SELECT DISTINCT name, id, CASE WHEN lower(name) LIKE 'x/%' THEN 'part' WHEN lower(name) LIKE '% sodium' THEN 'suffix' ELSE 'exact' END AS how FROM n JOIN v ON term = replace(regexp_replace(lower(name), '^x/', ''), ' sodium', '')""")
+def _(t):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.col("p_type")).when(k == 1, F.concat(F.lit("x/"), "p_type")).when(k == 2, F.concat("p_type", F.lit(" sodium"))).otherwise("none")
+    vocabulary = t.part.groupBy(F.lower("p_type").alias("term")).agg(F.min("p_partkey").alias("id"))
+    return evid.fuzzy_names(t.part.select(name.alias("name")).distinct(), vocabulary, ["sodium", "acetate"])
+
+
+@query("signature_subtract", ", a AS (SELECT prot, round(avg(evidence), 4) AS ev FROM dpi WHERE direction >= 0 GROUP BY 1), b AS (SELECT prot, round(avg(evidence), 4) AS t FROM dpi WHERE direction < 0 AND prot % 3 <> 0 GROUP BY 1) SELECT a.prot, round(greatest(0.0, abs(ev) - abs(coalesce(t, 0.0))), 6) AS ev FROM a LEFT JOIN b ON a.prot = b.prot")
+def _(t):
+    mean = lambda c: t.dpi().filter(c).groupBy("prot").agg(F.round(F.avg("evidence"), 4).alias("ev"))
+    return evid.signature_difference(mean("direction >= 0"), mean("direction < 0 and prot % 3 <> 0"), True)
+
+
+@query("delta_baseline", """, r AS (SELECT l_suppkey AS g, l_linenumber AS parameter, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2) SELECT r.parameter, round(avg(r.score - b.score), 6) AS mean, round(stddev_samp(r.score - b.score), 6) AS sd FROM r JOIN r b ON r.g = b.g AND b.parameter = 1 WHERE r.parameter <> 1 GROUP BY 1""")
+def _(t):
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("parameter")).agg(F.sum("l_quantity").alias("score"))
+    return evid.delta_to_baseline(rows, ["g"], F.col("parameter") == 1, "parameter")
+
+
+@query("background_pvalue", """, r AS (SELECT l_linenumber AS run, l_partkey AS key, sum(l_quantity) AS r FROM lineitem GROUP BY 1, 2) SELECT s.key, round(coalesce(sum(r), 0.0) / 7, 6) AS bg, round(s.score / 5 - coalesce(sum(r), 0.0) / 7, 6) AS normed,
+  round((count(*) FILTER (WHERE r < s.score / 5) + CASE WHEN s.score > 0 THEN 7 - count(r) ELSE 0 END) / 7, 6) AS pval FROM scores s LEFT JOIN r ON s.key = r.key GROUP BY s.key, s.score""")
+def _(t):
+    runs = t.lineitem.groupBy(F.col("l_linenumber").alias("run"), F.col("l_partkey").alias("key")).agg(F.sum("l_quantity").alias("score"))
+    return evid.background_scores(t.scores().select("key", (F.col("score") / 5).alias("score")), runs, 7)
+
+
+@query("support_enrichment", ", x AS (SELECT o_orderpriority = '1-URGENT' AS s, CAST(o_orderstatus = 'F' AS DOUBLE) AS p FROM orders) SELECT round(avg(p) FILTER (WHERE s), 6) AS with_support, round(avg(p) FILTER (WHERE NOT s), 6) AS without_support, round(avg(p) FILTER (WHERE s) / avg(p) FILTER (WHERE NOT s), 6) AS ratio FROM x")
+def _(t):
+    return evid.support_enrichment(t.orders.select((F.col("o_orderpriority") == "1-URGENT").alias("support"), (F.col("o_orderstatus") == "F").alias("passed")))
+
+
+@query("signature_compare", """, c AS (SELECT drug, evidence * direction * round(s_acctbal / 10000, 4) AS p FROM cons JOIN supplier ON prot = s_suppkey) SELECT drug, CAST(sum(sign(p)) AS BIGINT) AS sign_sum, round(max(abs(p)), 6) AS max_abs FROM c GROUP BY 1""")
+def _(t):
+    return evid.signature_compare(inter.consensus(t.dpi()).select("drug", "prot", (F.col("evidence") * F.col("direction")).alias("value")), t.supplier.select(F.col("s_suppkey").alias("prot"), F.round(F.col("s_acctbal") / 10000, 4).alias("d_value")))
+
+
+@query("synergy", ", x AS (SELECT a.key, round(a.score - least(b.score * 40, 900.0), 6) AS synergy FROM scores a JOIN scores2 b ON a.key = b.key) SELECT * FROM x WHERE synergy > 0")
+def _(t):
+    return evid.synergy(t.scores().select("key", "score"), t.scores2().select("key", (F.col("score") * 40).alias("score")), 900.0)
+
+
+@query("pairwise_corr", """SELECT 'discount' AS a, 'price' AS b, round(corr(l_discount, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'discount', 'quantity', round(corr(l_discount, l_quantity), 6) FROM lineitem UNION ALL SELECT 'price', 'quantity', round(corr(l_extendedprice, l_quantity), 6) FROM lineitem""")
+def _(t):
+    return evid.pairwise_correlation(t.lineitem.select(F.col("l_discount").alias("discount"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity")), ["discount", "price", "quantity"])
+
+
+@query("rule_flags", "SELECT c_custkey, 'poor' AS category, CAST(c_nationkey AS VARCHAR) AS detail FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'machines', c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def _(t):
+    return evid.flags(t.customer, "c_custkey", [("poor", F.col("c_acctbal") < 0, F.col("c_nationkey")), ("machines", F.col("c_mktsegment") == "MACHINERY", F.col("c_mktsegment"))])
+
+
+@query("json_props", "SELECT event_id, len(json_keys(props)) AS n_keys FROM events")
+def _(t):
+    return t.events.select("event_id", F.size(F.expr("json_object_keys(props)")).cast("long").alias("n_keys"))
+
+
 # --- flagship --------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnsift.functions import text
-from tarnsift.operators import graph, interactions, metrics, normalize, paths, ranking, relation
+from tarnsift.operators import evidence, graph, interactions, metrics, normalize, paths, ranking, relation
 from tarnsift.plans.jobs import Job, run_all
 from tarnsift.sources import files
 from tarnsift.streaming import events
@@ -147,3 +147,12 @@ def test_set_enrichment_is_seeded(spark):
     sets = spark.createDataFrame([("top", f"k{i}") for i in range(5)] + [("low", f"k{i}") for i in range(45, 50)], "set string, key string")
     a, b = ({r["set"]: (r.es, r.nes, r.p) for r in metrics.set_enrichment(sets, order).collect()} for _ in range(2))
     assert a == b and a["top"][0] == pytest.approx(1.0) and a["low"][0] < 0 and not math.isnan(a["top"][1])
+
+
+def test_demographic_filter(spark):
+    df = spark.createDataFrame([("m", 5.0), ("f", 5.0), ("f", 0.0), ("f", 10.0)], "sex string, age double")
+    keep = lambda spec: df.filter(evidence.demographic_filter(spec, F.col("sex"), F.col("age"))).count()
+    assert [keep(s) for s in ("m", "a<10", "a>10.5", "a>0.5fa<5", "")] == [1, 3, 0, 1, 4]
+    for bad in ("x", "a<", "mf"):
+        with pytest.raises(ValueError):
+            evidence.demographic_filter(bad, F.col("sex"), F.col("age"))
