@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def term_match(cols: list[str], terms: list[str]) -> Column:
-    """Whether any of the terms stands as a word in any of the columns, whatever the case."""
-    pattern = r"\b(" + "|".join(re.escape(t.lower()) for t in terms) + r")\b"
+    """Whether any of the terms stands as a word in any of the columns, whatever the case.  Words end
+    where ASCII letters, digits and underscores do, whatever the engine's own idea of a boundary."""
+    pattern = r"(^|[^a-z0-9_])(" + "|".join(re.escape(t.lower()) for t in terms) + r")([^a-z0-9_]|$)"
     out = F.lit(False)
     for c in cols:
         out = out | F.coalesce(F.lower(F.col(c)).rlike(pattern), F.lit(False))
