@@ -7,11 +7,10 @@ are verified on the sets.
 
 Points that can link meet as follows.  Sets that link differ in at most D shingles, D known from
 their sizes.  The shingles of a set are dealt by hash into more than D parts, so two such sets have a
-part in common, whole; a part's hash is a key.  Parts of few shingles are left out where the number of
-parts proves that a larger common one remains, and so are the shingles of passages that very many
-documents share, unless too little is left of a set, which then gives keys of all its shingles too.
-So no link is lost, whichever shingles are taken for common.  Sets joined by keys form cells; each
-cell is indexed by R-trees, large cells in blocks.  Equal sets are one point throughout.
+part in common, whole; a part's hash is a key.  Parts that hold few shingles besides those of passages
+that very many documents share are left out where the number of parts proves that a more telling
+common one remains.  So no link is lost, whichever shingles are taken for common.  Sets joined by keys
+form cells; each cell is indexed by R-trees, large cells in blocks.  Equal sets are one point throughout.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; repeated
 rows and equal sets are one class; a null id counts as larger than any other; an empty table gives an
@@ -34,8 +33,8 @@ from .packing import SENT, pack, sent, unpack
 from .textkernel import grouped_sums, mix, pieces, shingle_sets
 
 _U = np.uint64
-#: Parts of at most so many shingles are left out where that loses nothing.
-LIGHT = 1
+#: Shingles that are not common a part should hold, where leaving out the others loses nothing.
+RARE = (4, 3, 2, 1)
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Groups of the count vectors.
@@ -104,21 +103,13 @@ def bands(t: Threshold, longest: int) -> list[Band]:
     return out
 
 
-def _parts(values, of, n_sets, b: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and sizes of the parts of sets, which parts are heavy, and which sets have so few light
-    ones that a heavy part is common with every set they link to."""
-    part = of * b.parts + (mix(values) % _U(b.parts)).astype(np.int64)
-    count = np.bincount(part, minlength=n_sets * b.parts)
-    heavy = count > LIGHT
-    spare = (~heavy).reshape(n_sets, b.parts).sum(1) < b.parts - b.most
-    return grouped_sums(part, values, n_sets * b.parts), count, heavy, spare
-
-
 def part_keys(sets: list[np.ndarray], t: Threshold, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, index of the set) of all parts that may have to meet.
 
-    Heavy parts of the shingles that are not common always are; a set for which these may not do also
-    gives parts of all its shingles, the light ones too if the heavy ones may not do."""
+    A set gives the parts with RARE shingles that are not common, if the rest are so few that one of
+    these is whole in every set it links to; else those with fewer, down to all parts, empty ones too.
+    What a set gives contains all that it would give at a stricter choice, so of two sets that link
+    the stricter one's part is given by both."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     keys, owners = [], []
     for number, b in enumerate(bands(t, int(sizes.max(initial=0)))):
@@ -126,23 +117,23 @@ def part_keys(sets: list[np.ndarray], t: Threshold, common: np.ndarray | None =
         if not len(own):
             continue
         values, of = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), sizes[own])
-        rare = np.ones(len(values), bool)
+        part = of * b.parts + (mix(values) % _U(b.parts)).astype(np.int64)
+        n = len(own) * b.parts
+        count, sums = np.bincount(part, minlength=n), grouped_sums(part, values, n)
+        rare = count
         if common is not None and len(common):
             at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-            rare = common[at] != values
-        short = np.ones(len(own), bool)
-        for kind in (0, 1):
-            take = rare if kind == 0 else short[of]
-            sums, count, heavy, spare = _parts(values[take], of[take], len(own), b)
-            if kind:
-                heavy = (heavy.reshape(len(own), -1) | ~spare[:, None]) & short[:, None]
-            at = np.flatnonzero(heavy.ravel())
-            salt = (at % b.parts).astype(_U) + _U((2 * number + kind + 1) << 32)
-            keys.append(mix(sums[at] ^ mix(salt + (count[at].astype(_U) << _U(48)))))
-            owners.append(own[at // b.parts])
-            short = ~spare
-            if not short.any():
-                break
+            rare = np.bincount(part[common[at] != values], minlength=n)
+        given, left = np.ones((len(own), b.parts), bool), np.ones(len(own), bool)
+        for telling in [*(rare >= r for r in RARE), count >= 1]:
+            telling = telling.reshape(len(own), b.parts)
+            enough = left & ((~telling).sum(1) < b.parts - b.most)
+            given[enough] = telling[enough]
+            left &= ~enough
+        at = np.flatnonzero(given.ravel())
+        salt = (at % b.parts).astype(_U) + _U((number + 1) << 32)
+        keys.append(mix(sums[at] ^ mix(salt + (count[at].astype(_U) << _U(48)))))
+        owners.append(own[at // b.parts])
     if not keys:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
