@@ -209,3 +209,12 @@ def test_scores_of_little(spark, no_docs):
     assert scored(no_docs).count() == 0
     one = spark.createDataFrame([(None, None), (4, "a b")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in scored(one).collect()) == [1, 3]
+
+
+def test_scores_by_exact_counts_of_rare_words(spark):
+    common = " ".join(f"f{i}" for i in range(17_000))
+    rows = [(i, common, True) for i in range(6)] + [(10, "five z " * 5 + "two z " * 2, True), (11, "new five", False), (12, "new two", False), (13, "new other", False)]
+    got = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "id long, text string, train boolean")).collect()}
+    after = lambda n: 0.6 + 0.4 * 0.8 / n if n else 1
+    for i, n, j, m in ((11, 5, 12, 2), (12, 2, 13, 0)):
+        assert got[i] - got[j] == pytest.approx(np.log10(n / max(m, 1) * after(n) / after(m)), abs=2e-3)
