@@ -57,7 +57,11 @@ class Tables:
         return self.lineitem.select(F.col("l_suppkey").alias("drug"), F.col("l_linenumber").alias("prot"), F.when(F.col("l_returnflag") == "A", -1).when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("direction"), F.col("l_quantity").alias("value"))
 
     def members(self) -> DataFrame:
-        return self.lineitem.filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("item")).distinct()
+        """Sets of the ids that the SQL takes."""
+        return self.all_members().filter("set <= 40")
+
+    def all_members(self) -> DataFrame:
+        return self.lineitem.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("item")).distinct()
 
 
 SHAPES = """
@@ -581,6 +585,11 @@ def _(t):
     return paths.jaccard_pairs(t.members())
 
 
+@query("jaccard_pairs_all")
+def _(t):
+    return paths.jaccard_pairs(t.all_members())
+
+
 @query("indirect_jaccard", """, g AS (SELECT DISTINCT drug AS "set", prot AS item FROM dpi WHERE drug <= 60 UNION SELECT drug, prot2 FROM dpi JOIN edges ON prot = prot1 WHERE drug <= 60 AND edges.evidence >= 0.95),
   n AS (SELECT "set", count(*) AS n FROM g GROUP BY 1), c AS (SELECT a."set" AS set1, b."set" AS set2, count(*) AS c FROM g a JOIN g b ON a.item = b.item AND a."set" < b."set" GROUP BY 1, 2)
   SELECT set1, set2, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x."set" = set1 JOIN n y ON y."set" = set2""")
