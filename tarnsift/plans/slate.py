@@ -302,6 +302,12 @@ def _(t):
     return inter.combo_add(c, c.filter("drug = 1"))
 
 
+@query("path_combo_add_all")
+def _(t):
+    c = inter.consensus(t.dpi())
+    return inter.combo_add(c, c.filter("drug = 1"))
+
+
 # --- ranking and norms -----------------------------------------------------------------------
 
 RANKED = """, r AS (SELECT key, s.score, cum_n - n AS ahead, n AS tied, (SELECT count(*) FROM scores) AS total FROM scores s JOIN steps b ON s.score = b.score)"""

@@ -30,3 +30,20 @@ def test_jaccard_pairs_all(spark, small):
     want = jaccards({s: {p for p, x, *_ in lines if x == s} for s in {x for _, x, *_ in lines}})
     assert sorted(map(tuple, slate.QUERIES["jaccard_pairs_all"](spark, path).collect())) == want
     assert any(b > 40 for _, b, _ in want)
+
+
+def test_path_combo_add_all(spark, small):
+    path, lines, _ = small
+    bound = {}
+    for drug, prot, discount, flag in lines:
+        bound.setdefault((drug, prot), []).append((round(discount * 10, 4), {"A": -1, "N": 0}.get(flag, 1)))
+    sign = lambda n: (n > 0) - (n < 0)
+    cons = {k: (max(e for e, _ in v), sign(sum(d for _, d in v))) for k, v in bound.items()}
+    both = {k: [v] for k, v in cons.items()}
+    for drug in {d for d, _ in cons}:
+        for (base, prot), v in cons.items():
+            if base == 1:
+                both.setdefault((drug, prot), []).append(v)
+    want = sorted((*k, max(e for e, _ in v), v[0][1] if len({d for _, d in v}) == 1 else 0) for k, v in both.items())
+    got = slate.QUERIES["path_combo_add_all"](spark, path).select("drug", "prot", "evidence", "direction").collect()
+    assert sorted(map(tuple, got)) == want and any(d > 200 for d, *_ in want)
