@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,46 @@ def jaccard_pairs(members: DataFrame, least: float = 0.0) -> DataFrame:
     return found.select("set1", "set2", F.round(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+#: Sets of a block of dense_jaccard_pairs, and items of a step of its products.
+BLOCK_SETS, STEP_ITEMS = 1024, 2048
+
+
+def dense_jaccard_pairs(members: DataFrame) -> DataFrame:
+    """jaccard_pairs for long sets (of numbers) that mostly share items, where a join on items makes far more rows
+    than pairs: each two blocks of sets meet in one task, which counts common items by matrix products."""
+    blocks = -(-members.select("set").distinct().count() // BLOCK_SETS) or 1
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    own = members.select("set", "item", F.pmod(F.xxhash64("set"), F.lit(blocks)).cast("int").alias("block")).select("*", other)
+    dealt = own.select("set", "item", "block", (F.least("block", "other") * blocks + F.greatest("block", "other")).alias("cell"))
+
+    def count(table: pa.Table) -> pa.Table:
+        sets, block, items, cell = (table.column(c).to_numpy() for c in ("set", "block", "item", "cell"))
+        names, row = np.unique(sets, return_inverse=True)
+        item = np.unique(items, return_inverse=True)[1]
+        n = np.bincount(row)
+        of = np.zeros(len(names), np.int64)
+        of[row] = block
+        low, high = divmod(int(cell[0]), blocks)
+        a, b = np.flatnonzero(of == low), np.flatnonzero(of == high)
+        common = np.zeros((len(a), len(b)), np.int64)
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        for first in range(0, len(items) and int(item[-1]) + 1, STEP_ITEMS):
+            x, y = np.searchsorted(item, [first, first + STEP_ITEMS])
+            has = np.zeros((len(names), STEP_ITEMS), np.float32)
+            has[row[x:y], item[x:y] - first] = 1
+            common += (has[a] @ has[b].T).astype(np.int64)
+        i, j = np.nonzero(common)
+        c, i, j = common[i, j], a[i], b[j]
+        keep = i < j if low == high else np.ones(len(i), bool)
+        c, i, j = c[keep], i[keep], j[keep]
+        return pa.table({"set1": names[np.minimum(i, j)], "set2": names[np.maximum(i, j)], "common": c, "n1": n[np.minimum(i, j)], "n2": n[np.maximum(i, j)]})
+
+    kind = members.schema["set"].dataType.simpleString()
+    found = dealt.groupBy("cell").applyInArrow(count, f"set1 {kind}, set2 {kind}, common long, n1 long, n2 long")
+    return found.select("set1", "set2", F.round(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")), 6).alias("jaccard"))
+
+
 def weighted_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sum of minima over sum of maxima of (key, value); 0 without a shared key."""
     x = a.select("key", F.col("value").alias("x")).join(b.select("key", F.col("value").alias("y")), "key", "full_outer").fillna(0.0, ["x", "y"])

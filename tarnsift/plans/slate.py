@@ -596,13 +596,22 @@ def _(t):
     return paths.jaccard_pairs(t.all_members())
 
 
+def _bound_or_near(t, dpi):
+    d = dpi.select(F.col("drug").alias("set"), F.col("prot").alias("item"))
+    near = d.join(t.edges().filter("evidence >= 0.95"), F.col("item") == F.col("prot1")).select("set", F.col("prot2").alias("item"))
+    return rel.union_relation(d, near)
+
+
 @query("indirect_jaccard", """, g AS (SELECT DISTINCT drug AS "set", prot AS item FROM dpi WHERE drug <= 60 UNION SELECT drug, prot2 FROM dpi JOIN edges ON prot = prot1 WHERE drug <= 60 AND edges.evidence >= 0.95),
   n AS (SELECT "set", count(*) AS n FROM g GROUP BY 1), c AS (SELECT a."set" AS set1, b."set" AS set2, count(*) AS c FROM g a JOIN g b ON a.item = b.item AND a."set" < b."set" GROUP BY 1, 2)
   SELECT set1, set2, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x."set" = set1 JOIN n y ON y."set" = set2""")
 def _(t):
-    d = t.dpi().filter("drug <= 60").select(F.col("drug").alias("set"), F.col("prot").alias("item"))
-    near = d.join(t.edges().filter("evidence >= 0.95"), F.col("item") == F.col("prot1")).select("set", F.col("prot2").alias("item"))
-    return paths.jaccard_pairs(rel.union_relation(d, near))
+    return paths.jaccard_pairs(_bound_or_near(t, t.dpi().filter("drug <= 60")))
+
+
+@query("indirect_jaccard_all")
+def _(t):
+    return paths.dense_jaccard_pairs(_bound_or_near(t, t.dpi()))
 
 
 @query("weighted_overlap", "SELECT round(sum(least(coalesce(a.score, 0), coalesce(b.score, 0))) / sum(greatest(coalesce(a.score, 0), coalesce(b.score, 0))), 6) AS overlap FROM scores a FULL JOIN (SELECT * FROM scores2 WHERE key % 3 <> 0) b ON a.key = b.key")
