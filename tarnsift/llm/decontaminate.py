@@ -7,14 +7,15 @@ So a question asked again with other numbers or names is caught, and one that me
 scattered template words is not.
 
 Defined cases: null and empty texts match nothing; an item with fewer template words than a window
-matches nothing; items of fewer words than MIN_WORDS must match whole; an item that occurs more than
+matches nothing; items of fewer words than MIN_WORDS must match whole, and so must items so rich in slots that
+their windows with MIN_LITERALS literals can't cover MIN_WORDS (with fewer literals in all, with the same values); an item that occurs more than
 once in a text counts once, with its longest passage; repeated rows of one id count as one document;
 empty tables give an empty result; other columns of either table are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, without_ids
@@ -78,20 +79,49 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
         "hash", F.xxhash64(*[F.get("template", F.col("at") + k) for k in range(window)]))
 
 
-def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_literals: int) -> DataFrame:
+def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_words: int, min_literals: int) -> DataFrame:
     rows = _windows(items.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")).dropDuplicates(["id"]), window)
     rows = rows.select(
-        F.col("id").alias("item_id"), F.size("template").alias("item_words"), F.col("at").alias("item_at"), "hash",
+        F.col("id").alias("item_id"), F.size("template").alias("item_words"), F.col("at").alias("item_at"), "hash", "template", _words(F.col("raw")).alias("words"),
         F.slice("template", F.col("at") + 1, window).alias("item_template"), F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("item_window"),
     )
     rows = rows.filter(F.col("item_words") >= window)
-    literals = F.size(F.filter("item_template", lambda w: ~is_slot(w) & (w != "")))
-    # windows that are mostly slots say nothing; an item's need counts only windows that can match
-    return rows.filter(literals >= min_literals).select(
-        "item_id", "item_at", "item_words", "hash", "item_template", "item_window", F.array_join("item_template", " ").alias("item_text"))
+    # windows that are mostly slots say nothing; an item whose other windows can't cover its need is matched
+    # whole, around its window of most literals; not from its first word, whose capital is a name after "Question:"
+    own = Window.partitionBy("item_id")
+    kept = F.when(F.col("literals") >= min_literals, F.col("item_at"))
+    covered = F.least(F.count(kept).over(own) + (window - 1), F.coalesce(F.max(kept).over(own) - F.min(kept).over(own) + window, F.lit(0)))
+    rows = rows.withColumn("literals", _literals("item_template")).withColumns({
+        "whole": covered < F.least(F.lit(min_words), F.col("item_words")),
+        "best": F.row_number().over(own.orderBy(F.col("item_at") == 0, F.col("literals").desc(), "item_at")) == 1})
+    return rows.filter(F.when(F.col("whole"), F.col("best")).otherwise(F.col("literals") >= min_literals)).select(
+        "item_id", "item_at", "item_words", "hash", F.array_join("item_template", " ").alias("item_text"),
+        F.when(F.col("whole"), 0).otherwise(F.col("item_at")).alias("item_from"),
+        F.when(F.col("whole"), F.col("template")).otherwise(F.col("item_template")).alias("item_template"),
+        F.when(F.col("whole"), F.col("words")).otherwise(F.col("item_window")).alias("item_window"),
+        F.col("whole").alias("item_whole"), (F.col("whole") & (_literals("template") < min_literals)).alias("item_same"))
 
 
-_ITEM = ["item_id", "item_at", "item_words", "item_template", "item_window"]
+def _literals(words: str) -> Column:
+    return F.size(F.filter(words, lambda w: ~is_slot(w) & (w != "")))
+
+
+#: Of a window, or of all the item from item_from 0 on: item_whole; item_same: with so few literals that its values must be the same.
+_ITEM = ["item_id", "item_at", "item_words", "item_from", "item_whole", "item_same", "item_template", "item_window"]
+
+
+def _here(words: Column, at: Column, item_at: Column, item_from: Column, item_template: Column) -> Column:
+    """The words of a text that stand where the item's do."""
+    return F.slice(words, F.greatest(at - item_at + item_from + 1, F.lit(1)), F.size(item_template))
+
+
+def _equal() -> Column:
+    """Whether the words that stand where an item's do are the item's; the first of a whole item may differ in case."""
+    rest = lambda c: F.slice(c, 2, 1 << 30)
+    first = lambda c: F.lower(_bare(F.get(c, F.lit(0))))
+    like = (rest("template") == rest("item_template")) & (
+        (F.get("template", F.lit(0)) == F.get("item_template", F.lit(0))) | (first("words") == first("item_window")))
+    return F.when(F.col("item_whole"), like).otherwise(F.col("template") == F.col("item_template"))
 
 
 def _found_at_once(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
@@ -99,11 +129,12 @@ def _found_at_once(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     # equality by two prefixes: as an equation it would be a join key, computed for every window, and as
     # a lambda it would keep the join out of compiled code, so that every window became a row
     here, there = F.array_join(F.slice("template", F.col("at") + 1, window), " "), F.col("item_text")
+    where = [F.col(c) for c in ("at", "item_at", "item_from", "item_template")]
     return rows.join(bench, (rows["hash"] == bench["hash"]) & here.startswith(there) & there.startswith(here)).select(
         "id", "at", *_ITEM,
-        F.slice("template", F.col("at") + 1, window).alias("template"),
-        F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("words"),
-    )
+        _here(F.col("template"), *where).alias("template"),
+        _here(_words(F.col("raw")), *where).alias("words"),
+    ).filter(~F.col("item_whole") | _equal())
 
 
 def _found_by_shuffle(docs: DataFrame, rows: DataFrame, bench: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -114,8 +145,8 @@ def _found_by_shuffle(docs: DataFrame, rows: DataFrame, bench: DataFrame, window
     texts = texts.join(hits, texts["id"].eqNullSafe(F.col("_hit"))).select("id", "hits", _words(template_text(F.col("raw"))).alias("template"), _words(F.col("raw")).alias("words"))
     cut = F.transform("hits", lambda h: F.struct(
         *[h[c].alias(c) for c in ("at", *_ITEM)],
-        F.slice("template", h["at"] + 1, window).alias("template"), F.slice("words", h["at"] + 1, window).alias("words")))
-    return texts.select("id", F.inline(cut)).filter(F.col("template") == F.col("item_template"))
+        *[_here(F.col(c), h["at"], h["item_at"], h["item_from"], h["item_template"]).alias(c) for c in ("template", "words")]))
+    return texts.select("id", F.inline(cut)).filter(_equal())
 
 
 def leaks(
@@ -132,7 +163,7 @@ def leaks(
 ) -> DataFrame:
     """One row for each document and benchmark item whose passage it holds: id_col, item_id,
     n_windows, n_words (covered), n_slots, n_changed (slots whose values differ)."""
-    bench = benchmark_windows(items, item_id_col, item_text_col, window, min_literals)
+    bench = benchmark_windows(items, item_id_col, item_text_col, window, min_words, min_literals)
     rows = _windows(docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")), window)
     if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         found = _found_at_once(rows, F.broadcast(bench), window)
@@ -143,17 +174,18 @@ def leaks(
             x["item_template"].alias("kind"), _bare(x["item_window"]).alias("item"), _bare(x["words"]).alias("doc"))),
         lambda p: is_slot(p["kind"]),
     )
-    found = found.select("id", "item_id", "item_at", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs"))
+    found = found.select("id", "item_id", "item_at", "item_words", "item_whole", "item_same", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs"))
     passages = found.groupBy("id", "item_id", "diagonal").agg(
         F.max("item_words").alias("item_words"),
-        F.count_distinct("item_at").alias("n_windows"),
+        F.max("item_same").alias("same"),
+        F.when(F.max("item_whole"), F.max("item_words") - (window - 1)).otherwise(F.count_distinct("item_at")).alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        (F.max("item_at") - F.min("item_at") + window).alias("span"),
+        F.when(F.max("item_whole"), F.max("item_words")).otherwise(F.max("item_at") - F.min("item_at") + window).alias("span"),
     )
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"]))))
     words = F.least(F.col("n_windows") + (window - 1), F.col("span"))
     passages = passages.withColumn("n_words", words.cast("long")).filter(
-        agree & (F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words"))))
+        agree & (~F.col("same") | F.forall("pairs", lambda p: p["item"] == p["doc"])) & (F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words"))))
     best = F.max_by(F.struct("n_windows", "n_words", F.size("pairs").cast("long").alias("n_slots"),
                              F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).cast("long").alias("n_changed")),
                     F.struct("n_windows", "n_words", -F.col("diagonal")))

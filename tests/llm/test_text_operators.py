@@ -105,6 +105,21 @@ def test_leaks_at_scale_limits(spark, monkeypatch):
     assert leak(spark, [ITEM, "z " * 50_000 + ITEM]) == {0: 0, 1: 0}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_leaks_of_items_rich_in_slots(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    long = "How long are 3 hours 20 minutes and 15 seconds plus 2 hours 50 minutes and 5 seconds"
+    convert = "Convert 5 km 3 m 20 cm and 7 km 4 m 60 cm to mm"
+    for item in (long, convert):
+        other = item.replace("20", "21").replace("7 ", "9 ")
+        twice = item.replace("5 ", "3 ").replace("3 ", "8 ", 1)  # other values all the same
+        cut = item.rsplit(" ", 1)[0]
+        got = leak(spark, [item, f"x y {item} z", f"x. {other}", cut, f"{cut} or", twice, item.split(" ", 1)[1]], item)
+        assert {0: 0, 1: 0} == {k: v for k, v in got.items() if v == 0} and 2 in got and not {3, 4, 6} & set(got)
+    numbers = "10 11 12 13 14 15 16 17 18 19"
+    assert leak(spark, [f"so {numbers} on", "20 21 22 23 24 25 26 27 28 29"], numbers) == {0: 0}
+
+
 def test_without_leaks(spark, no_docs):
     d = spark.createDataFrame([(1, ITEM), (None, ITEM), (2, "clean"), (None, "clean too")], "doc_id long, text string")
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
