@@ -459,7 +459,7 @@ def _(t):
 
 @query("set_enrichment")
 def _(t):
-    brands = t.part.filter("p_size <= 10").select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("key"))
+    brands = t.part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("key"))
     return metrics.set_enrichment(brands, t.scores().select("key", "score"))
 
 

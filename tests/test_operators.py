@@ -149,6 +149,24 @@ def test_set_enrichment_is_seeded(spark):
     assert a == b and a["top"][0] == pytest.approx(1.0) and a["low"][0] < 0 and not math.isnan(a["top"][1])
 
 
+def test_set_enrichment_weighs_hits(spark):
+    scores = [9.0, 7.0, 6.0, 5.0, 4.0, 2.0]
+    order = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(scores)], "key string, score double")
+    sets = spark.createDataFrame([("a", "k1"), ("a", "k5"), ("b", "k0"), ("b", "k1")], "set string, key string")
+    got = {r["set"]: r for r in metrics.set_enrichment(sets, order, permutations=5000).collect()}
+    assert got["a"].es == pytest.approx(7**3 / (7**3 + 2**3) - 1 / 4) and got["b"].es == pytest.approx(1.0)
+    # of the 15 pairs none has more than b's own
+    assert got["b"].p == 1 / 5000 and got["b"].q == pytest.approx(2 / 5000) and got["a"].nes_lower <= got["a"].nes <= got["a"].nes_upper
+    peaks = []
+    for i in range(6):
+        for j in range(i + 1, 6):
+            run = [0.0]
+            for x in range(6):
+                run.append(run[-1] + (scores[x] ** 3 / (7**3 + 2**3) if x in (i, j) else -1 / 4))
+            peaks.append(max(run) if max(run) >= -min(run) else min(run))
+    assert got["a"].p == pytest.approx(sum(x > got["a"].es + 1e-9 for x in peaks) / 15, abs=0.03)
+
+
 def test_demographic_filter(spark):
     df = spark.createDataFrame([("m", 5.0), ("f", 5.0), ("f", 0.0), ("f", 10.0)], "sex string, age double")
     keep = lambda spec: df.filter(evidence.demographic_filter(spec, F.col("sex"), F.col("age"))).count()
