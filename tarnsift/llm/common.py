@@ -56,6 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the read files that go to one bin of a shuffle, about.
+BIN_BYTES = 256_000_000
+
+
+def bins_for(df: DataFrame) -> int:
+    """Bins so that each holds a bounded share of df's files: the session's number of shuffle partitions
+    at least, more where the files are large.  The size comes from the plan; nothing is read."""
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    # a plan without known sizes multiplies guesses; what is no file's size counts as none
+    return max(shuffle_partitions(df.sparkSession), size // BIN_BYTES + 1 if size < 1 << 60 else 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,11 @@ than once are concatenated; their Burrows-Wheeler transform is kept as runs, wit
 sampled at the runs' ends and the common prefixes of neighbours measured there alone; from the samples
 the matching statistics of all positions are streamed, and matches of LENGTH or more are marked.
 Equal texts are one entry with a count.  An anchor that occurs more than FREQUENT times would make one
-shard's index grow with the corpus; its strings are compared by their hashes, dealt over all shards.
+shard's index grow with the corpus; its strings are split by their distance to the anchor into groups of
+GROUP starts, whose texts share LENGTH - GROUP + 1 bytes, and are indexed in the shard of the hash of
+these.  Strings of an anchor with over VERY_FREQUENT occurrences are compared by 128-bit hashes of their
+LENGTH bytes, dealt over all shards: by chance two of n different strings get one hash with a probability
+of n * n / 2 ** 129.
 
 Work goes in blocks of documents: anchors out, which of them repeat back, texts out, marks back.
 
@@ -27,18 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import bins_for, table
 from .packing import SENT, pack, sent, unpack
 from .textkernel import _BYTES, _power, mix, pieces
 
 _U = np.uint64
 LENGTH, K = 200, 32
-#: Occurrences of an anchor beyond which its strings are compared by hash.
-FREQUENT = 512
+#: Occurrences of an anchor beyond which its strings are split, and beyond which they are compared by hash.
+FREQUENT, VERY_FREQUENT = 512, 32_768
+#: Starts of a group of the strings of a frequent anchor.
+GROUP = 24
 #: Bytes of an index, about.
 INDEX_BYTES = 1_000_000
 _SPAN = LENGTH - K + 1
 _STOP = 0xFF  # in no UTF-8 text
+#: Bits of an anchor's order that hold its place; a column of texts is shorter than 2 ** 31 bytes.
+_PLACE = _U((1 << 32) - 1)
 
 _TEXTS, _ANCHORS, _CODES, _STRINGS, _HASHES, _MARKS, _HASH_MARKS, _DONE = range(8)
 
@@ -46,9 +54,12 @@ _TEXTS, _ANCHORS, _CODES, _STRINGS, _HASHES, _MARKS, _HASH_MARKS, _DONE = range(
 # --- anchors ---------------------------------------------------------------------------------
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
+_OTHER_BYTES = np.random.default_rng(20250607).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _sums(data: np.ndarray, letters: np.ndarray = _BYTES) -> np.ndarray:
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTES[data] * _power(len(data) + 1)[0][:-1], dtype=_U, out=out[1:])
+    np.cumsum(letters[data] * _power(len(data) + 1)[0][:-1], dtype=_U, out=out[1:])
     return out
 
 
@@ -64,9 +75,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n < _SPAN:
         return sums, none.astype(_U), none, none, none
     hashes = _hash(sums, np.arange(n), np.arange(n) + K)
-    bits = int(n).bit_length()
-    low = _U((1 << bits) - 1)
-    ordered = (hashes & ~low) | np.arange(n, dtype=_U)  # the leftmost of equals is the least
+    # the leftmost of equals is the least; as many bits whatever the length, so equal strings have equal anchors
+    ordered = (hashes & ~_PLACE) | np.arange(n, dtype=_U)
     rows = -(-n // _SPAN)
     padded = np.full(rows * _SPAN, _U(0xFFFFFFFFFFFFFFFF))
     padded[:n] = ordered
@@ -74,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ahead = np.minimum.accumulate(padded, 1).ravel()
     behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
     starts = np.arange(len(data) - LENGTH + 1)
-    place = (np.minimum(behind[starts], ahead[starts + _SPAN - 1]) & low).astype(np.int64)
+    place = (np.minimum(behind[starts], ahead[starts + _SPAN - 1]) & _PLACE).astype(np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     inside = starts + LENGTH <= offsets[row + 1]
     starts, place = starts[inside], place[inside]
@@ -94,7 +104,9 @@ class RunIndex:
     along and the length falls by one a position.  Likewise the neighbour after, at ends of runs.
     """
 
+    #: Longer than any text of an index, so two suffixes that share so much don't exist.
     MOST = 1024
+    assert 2 * LENGTH < MOST
 
     def __init__(self, text: np.ndarray):
         n = len(text)
@@ -174,7 +186,7 @@ def mark(groups: np.ndarray, texts: list[bytes], counts: np.ndarray, origins: np
 
     groups: sorted; texts of a group are distinct and may share strings, others may not.  counts: of
     occurrences; a text that occurs more than once repeats whole.  origins: place of each text's first
-    byte, by which overlapping texts of one document are known."""
+    byte, by which overlapping texts of one document are known; a shard numbers its blocks from 0."""
     out = [np.full(len(x) - length + 1, c > 1) for x, c in zip(texts, counts)]
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
     held, size = [], 0
@@ -255,8 +267,8 @@ def _by_bin(batches, kinds: tuple[int, ...]):
         yield i, held.pop(i)
 
 
-def _which_repeat(frequent: int):
-    """0 for an anchor that occurs once, 1 if more often, 2 if too often for an index."""
+def _which_repeat(frequent: int, very: int):
+    """0 for an anchor that occurs once, 1 if more often, 2 if its strings are to be split, 3 if hashed."""
 
     def run(batches):
         for i, got in _by_bin(batches, (_ANCHORS,)):
@@ -266,7 +278,7 @@ def _which_repeat(frequent: int):
             parts = [(block, *unpack(body, "u8", "u4")) for block, body in got[_ANCHORS]]
             every, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
             total = np.bincount(inverse, weights=np.concatenate([p[2] for p in parts]), minlength=len(every))
-            codes = ((total > 1).astype(np.uint8) + (total > frequent))[inverse].astype(np.uint8)
+            codes = ((total > 1).astype(np.uint8) + (total > frequent) + (total > very))[inverse].astype(np.uint8)
             at = 0
             for block, hashes, _ in parts:
                 yield sent([(i, block, _CODES, pack(codes[at:at + len(hashes)]))])
@@ -301,11 +313,27 @@ def _results(ids, null, data, offsets, removed) -> bytes:
     return pack(ids, null, b - a, gone[b] - gone[a], spans[b] - spans[a], np.frombuffer(digests, np.uint8))
 
 
+def _split(hashes, place, low, high, sums) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, key, first and last start) of the groups of the strings of anchors."""
+    near, far = (place - high) // GROUP, (place - low) // GROUP
+    each = far - near + 1
+    of, group = np.repeat(np.arange(len(place)), each), _ranges(near, each)
+    latest = place[of] - GROUP * group  # of the group; its strings share the bytes from here on
+    shared = _hash(sums, latest, latest + (LENGTH - GROUP + 1))
+    key = mix(hashes[of] ^ mix(shared + group.astype(_U)))
+    return of, key, np.maximum(low[of], latest - GROUP + 1), np.minimum(high[of], latest)
+
+
+def _pairs(first: np.ndarray, second: np.ndarray, **options):
+    """np.unique of pairs."""
+    return np.unique(np.ascontiguousarray(np.stack([first, second], 1)).view("u8,u8").ravel(), **options)
+
+
 def _second_pass(bins: int):
     def run(batches):
         for block, rows in _by_block(batches):
             ids, null, offsets, data = unpack(next(body for _, kind, body in rows if kind == _TEXTS), "i8", "u1", "i8", "u1")
-            sums, hashes, _, low, high = anchors(data, offsets)
+            sums, hashes, place_of, low, high = anchors(data, offsets)
             distinct, inverse = np.unique(hashes, return_inverse=True)
             order, edge = _dealt(distinct, bins)
             codes = np.zeros(len(distinct), np.uint8)
@@ -330,35 +358,38 @@ def _second_pass(bins: int):
                 shift = np.zeros(len(own), np.int64)
                 shift[own] = cut[:-1] - offsets[:-1][own]
                 out = []
-                one = np.flatnonzero(code == 1)
-                end = high[one] + LENGTH
-                texts = np.stack([hashes[one], _hash(sums, low[one], end)], 1) if len(one) else np.zeros((0, 2), _U)
-                _, first, same = np.unique(texts, axis=0, return_index=True, return_inverse=True) if len(one) else (None, np.zeros(0, int), np.zeros(0, int))
-                by, e = _dealt(hashes[one[first]], bins)
+                one, two = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+                of, key, first_start, last_start = _split(hashes[two], place_of[two], low[two], high[two], sums)
+                own_row = np.r_[row[one], row[two][of]]
+                key, begin, end = np.r_[hashes[one], key], np.r_[low[one], first_start], np.r_[high[one], last_start] + LENGTH
+                texts = _pairs(key, _hash(sums, begin, end), return_index=True, return_inverse=True)
+                first, same = texts[1], texts[2]
+                by, e = _dealt(key[first], bins)
                 times = np.bincount(same, minlength=len(first))
                 for i in range(bins):
                     o = by[e[i]:e[i + 1]]
                     if len(o):
-                        at, size = low[one[first[o]]], (end - low[one])[first[o]]
-                        out.append((i, block, _STRINGS, pack(hashes[one[first[o]]], size.astype(np.uint32), times[o].astype(np.uint32), at.astype(np.int64), data[_ranges(at, size)])))
+                        at, size = begin[first[o]], (end - begin)[first[o]]
+                        out.append((i, block, _STRINGS, pack(key[first[o]], size.astype(np.uint32), times[o].astype(np.uint32), at.astype(np.int64), data[_ranges(at, size)])))
                 # of each distinct text, in the order of the bins, where it stands
                 place = np.empty(len(first), np.int64)
                 place[by] = np.arange(len(first))
-                turn = np.argsort(place[same], kind="stable") if len(one) else np.zeros(0, int)
-                strings = (times[by], (end - low[one])[first[by]] - LENGTH + 1, (low[one] + shift[row[one]])[turn])
-                two = np.flatnonzero(code == 2)
-                starts = _ranges(low[two], high[two] - low[two] + 1)
-                window, same = np.unique(_hash(sums, starts, starts + LENGTH), return_inverse=True)
-                by, e = _dealt(window, bins)
+                turn = np.argsort(place[same], kind="stable")
+                strings = (times[by], (end - begin)[first[by]] - LENGTH + 1, (begin + shift[own_row])[turn])
+                three = np.flatnonzero(code == 3)
+                starts = _ranges(low[three], high[three] - low[three] + 1)
+                other = _sums(data, _OTHER_BYTES) if len(starts) else sums
+                window, same = _pairs(_hash(sums, starts, starts + LENGTH), _hash(other, starts, starts + LENGTH), return_inverse=True)
+                by, e = _dealt(window["f0"], bins)
                 times = np.bincount(same, minlength=len(window))
                 for i in range(bins):
                     o = by[e[i]:e[i + 1]]
                     if len(o):
-                        out.append((i, block, _HASHES, pack(window[o], times[o].astype(np.uint32))))
+                        out.append((i, block, _HASHES, pack(np.ascontiguousarray(window["f0"][o]), np.ascontiguousarray(window["f1"][o]), times[o].astype(np.uint32))))
                 place = np.empty(len(window), np.int64)
                 place[by] = np.arange(len(window))
                 turn = np.argsort(place[same], kind="stable") if len(starts) else np.zeros(0, int)
-                moved = starts + np.repeat(shift[row[two]], high[two] - low[two] + 1)
+                moved = starts + np.repeat(shift[row[three]], high[three] - low[three] + 1)
                 out.append((block % bins, block, _TEXTS, pack(
                     ids[own], null[own], cut, part, np.diff(edge_sizes(out, _STRINGS, bins)), np.diff(edge_sizes(out, _HASHES, bins)),
                     strings[0], strings[1], strings[2], times[by], moved[turn])))
@@ -382,21 +413,22 @@ def _marks(batches):
             yield sent(got)
             continue
         if _HASHES in got:
-            parts = [(block, *unpack(body, "u8", "u4")) for block, body in got[_HASHES]]
-            every, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            more = (np.bincount(inverse, weights=np.concatenate([p[2] for p in parts]), minlength=len(every)) > 1)[inverse]
+            parts = [(block, *unpack(body, "u8", "u8", "u4")) for block, body in got[_HASHES]]
+            every, inverse = _pairs(*(np.concatenate([p[j] for p in parts]) for j in (1, 2)), return_inverse=True)
+            more = (np.bincount(inverse, weights=np.concatenate([p[3] for p in parts]), minlength=len(every)) > 1)[inverse]
             at = 0
-            for block, hashes, _ in parts:
+            for block, hashes, _, _ in parts:
                 yield sent([(i, block, _HASH_MARKS, pack(more[at:at + len(hashes)].astype(np.uint8)))])
                 at += len(hashes)
         if _STRINGS in got:
             entries: dict[tuple, list] = {}
             uses = []
+            number = {b: n for n, b in enumerate(sorted({block for block, _ in got[_STRINGS]}))}
             for block, body in got[_STRINGS]:
                 hashes, size, times, at, text = unpack(body, "u8", "u4", "u4", "i8", "u1")
                 text, cut = text.tobytes(), np.r_[0, np.cumsum(size.astype(np.int64))]
                 for j in range(len(hashes)):
-                    e = entries.setdefault((int(hashes[j]), text[cut[j]:cut[j + 1]]), [0, (block << 32) + int(at[j])])
+                    e = entries.setdefault((int(hashes[j]), text[cut[j]:cut[j + 1]]), [0, (number[block] << 32) + int(at[j])])
                     e[0] += int(times[j])
                     uses.append((block, e))
             keys = sorted(entries)
@@ -455,11 +487,13 @@ def _last_pass(bins: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bins: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bins: int | None = None, frequent: int = FREQUENT, very: int = VERY_FREQUENT,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal runs that go) and kept_sha256 of every row."""
-    bins = bins or shuffle_partitions(docs.sparkSession)
+    bins = bins or bins_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_first_pass(bins), SENT)
-    for by, step in (("bin", _which_repeat(frequent)), ("block", _second_pass(bins)), ("bin", _marks)):
+    for by, step in (("bin", _which_repeat(frequent, very)), ("block", _second_pass(bins)), ("bin", _marks)):
         rows = rows.repartition(bins, by)
         rows = (rows.sortWithinPartitions("block") if by == "block" else rows).mapInArrow(step, SENT)
     return rows.repartition(bins, "block").sortWithinPartitions("block").mapInArrow(_last_pass(bins), _RESULT)

@@ -12,14 +12,35 @@ from tarnsift.llm import decontaminate, language_model, ngram_join, repeats, tox
 # --- 1: repeats ------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [512, 2])
-def test_repeats(spark, docs, rows, frequent):
+@pytest.mark.parametrize("frequent,very", [(512, 40_000), (2, 40_000), (2, 3), (1, 1)])
+def test_repeats(spark, docs, rows, frequent, very):
     extra = [(None, rows[3][1]), (7, rows[7][1])]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    got = sorted((tuple(r) for r in repeats.remove_repeats(both, frequent=frequent).collect()), key=repr)
+    got = sorted((tuple(r) for r in repeats.remove_repeats(both, frequent=frequent, very=very).collect()), key=repr)
     assert got == brute.repeats([(r[0], r[1]) for r in rows] + extra)
 
 
+@pytest.mark.parametrize("partitions", [160, 1])
+def test_repeats_in_many_partitions(spark, docs, rows, partitions):
+    """Blocks of any number, and the same string in pieces of any size."""
+    got = sorted((tuple(r) for r in repeats.remove_repeats(docs.repartition(partitions, "doc_id"), bins=5).collect()), key=repr)
+    assert got == brute.repeats([(r[0], r[1]) for r in rows])
+
+
+def test_anchors_do_not_depend_on_the_piece():
+    g = np.random.default_rng(3)
+    string = g.integers(97, 101, 300).astype(np.uint8)
+    for before, after in ((0, 0), (5, 9), (5000, 0), (100_000, 70_000)):
+        data = np.r_[g.integers(97, 101, before).astype(np.uint8), string, g.integers(97, 101, after).astype(np.uint8)]
+        _, hashes, place, low, high = repeats.anchors(data, np.array([0, len(data)]))
+        own = {}
+        for h, p, a, b in zip(hashes, place, low, high):
+            own |= {s - before: (h, p - before) for s in range(a, b + 1) if 0 <= s - before <= 100}
+        assert len(own) == 101
+        first = own if not before and not after else first
+        assert own == first
+
+
 def test_repeats_of_nothing(no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
 
