@@ -3,9 +3,9 @@
 A word enters as the vector of its hash bucket joined to the mean vector of its character n-grams.
 Windows of WINDOW words, STRIDE apart, are read in both directions; attention pools the states to one
 logit a window; a document's score is that of its worst window.  Every window of every text is scored.
-Training, in numpy on the driver, takes a bounded sample of labelled rows (SAMPLE a class, texts up to
-SAMPLE_BYTES); labels say only whether some window is toxic, so each step learns from the window that
-now looks worst.
+Training, in numpy in one task of an executor, takes a bounded sample of labelled rows (SAMPLE a class,
+texts up to SAMPLE_BYTES); labels say only whether some window is toxic, so each step learns from the
+window that now looks worst.  Only the weights, of fixed size, come to the driver.
 
 Defined cases: null, empty and blank texts score 0; a label that is null, or whose document is
 missing, is not learned from; if one class has no rows, every text scores 0; equal texts score alike;
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -24,13 +24,17 @@ from .textkernel import _BYTES, _LOWER, mix, pieces, word_hashes, word_spans
 
 #: Labelled rows of class 0 and 1 to learn from at most, and the longest text among them in bytes.
 SAMPLE, SAMPLE_BYTES = (1400, 700), 20_000
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 32, 24
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 15, 12, 16, 16
 NGRAMS = (4, 5)
-EPOCHS, BATCH, RATE, WORD_DROP = 8, 32, 0.01, 0.4
+EPOCHS, BATCH, RATE, WORD_DROP = 8, 32, 0.01, 0.6
+#: Small samples are read more often, up to so many steps; the shipped weights are the mean of the last quarter of steps.
+LEAST_STEPS = 250
 REJECT = 0.7
+#: Share of the clean windows that are learned as repetitions of few words.
+MONOTONE = 0.1
 #: Windows that are read at once.
-AT_ONCE = 2048
+AT_ONCE = 1024
 _U = np.uint64
 _F = np.float32
 
@@ -258,17 +262,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network | Non
     begin, length, rows = windows(words.row_bounds)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(_F)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    step = 0
-    for epoch in range(EPOCHS):
-        logit = net.logits(words, begin, length)
-        if epoch < 2:  # nothing is learned yet: any window may be the one
-            logit = g.standard_normal(len(logit)).astype(_F)
-        order = np.lexsort((logit, rows))
+    rounds = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(np.unique(rows)) // BATCH))))
+    looks, step, mean, kept = None, 0, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
+    for epoch in range(rounds):
+        if epoch < 0.25 * rounds:  # little is learned yet: any window may be the one
+            looks = g.standard_normal(len(begin)).astype(_F)
+        elif not epoch % max(1, rounds // EPOCHS) or looks is None:
+            looks = net.logits(words, begin, length)
+        order = np.lexsort((looks, rows))
         picked = order[np.r_[rows[order][1:] != rows[order][:-1], True]]
         picked = picked[g.permutation(len(picked))]
         for at in range(0, len(picked), BATCH):
             own = picked[at:at + BATCH]
             tokens = words.token[np.minimum(begin[own] + np.arange(WINDOW)[:, None], len(words.token) - 1)]
+            _repeat_few(tokens, labels[rows[own]] == 0, g)
             seen, ids = np.unique(tokens, return_inverse=True)
             few = _Subset(words, seen)
             drop = (g.random(len(seen)) > WORD_DROP).astype(_F)
@@ -277,15 +284,27 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network | Non
             grads = net.backward(((_sigmoid(logit) - y) * w / len(own)).astype(_F), ids.reshape(tokens.shape), saved, few, drop, len(seen))
             norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
             step += 1
-            rate = RATE * (1 - 0.8 * epoch / EPOCHS) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+            rate = RATE * (1 - 0.8 * epoch / rounds) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, v in grads.items():
-                v = v * _F(min(1.0, 1.0 / max(norm, 1e-9)))
+                v *= _F(min(1.0, 1.0 / max(norm, 1e-9)))
                 first[k] += _F(0.1) * (v - first[k])
                 second[k] += _F(0.001) * (v * v - second[k])
                 net.p[k] -= _F(rate) * first[k] / (np.sqrt(second[k]) + _F(1e-6))
+        if epoch >= 0.75 * rounds:
+            kept += 1
+            for k, v in net.p.items():
+                mean[k] += v
+    net.p = {k: v / _F(kept) for k, v in mean.items()}
     return net
 
 
+def _repeat_few(tokens: np.ndarray, clean: np.ndarray, g) -> None:
+    """Some windows of clean texts become one to four of their words, again and again: such texts are
+    clean too, and prose alone doesn't show it.  tokens: (T, B)."""
+    for j in np.flatnonzero(clean & (g.random(len(clean)) < MONOTONE)):
+        tokens[:, j] = np.resize(g.choice(tokens[:, j], g.integers(1, 5)), len(tokens))
+
+
 class _Subset:
     """Some of the distinct words of a Words."""
 
@@ -306,18 +325,35 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: tuple[int, int] = SAMPLE) -> Network | None:
-    """Learns from rows of labels whose fold of three is not 1; at most sample rows of each class, by hash."""
-    known = labels.filter(fold(F.col("doc_id"), 3) != 1).filter(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic): rows of labels whose fold of three is not 1; at most sample rows of each
+    class, by hash."""
+    known = labels.filter(fold(F.col("doc_id"), 3) != 1).filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    # twice as many, as some are too long or missing; at most twice the sample
+    some = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample[kind]) for kind in (0, 1)]
     short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").alias("_id"), "text")
-    rows = []
-    for kind in (0, 1):
-        # twice as many, as some are too long or missing; at most twice the sample
-        some = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample[kind])
-        found = short.join(F.broadcast(some), F.col("_id") == F.col("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample[kind])
-        rows += found.select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]))
+    found = short.join(F.broadcast(some[0].union(some[1])), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "toxic")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])).drop("_place")
+
+
+def _train_rows(batches):
+    """One row: the weights, or nothing if there is nothing to learn."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    net = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    if net is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k in net.p]), pa.array([v.tobytes() for v in net.p.values()], pa.binary())], names=["name", "weights"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: tuple[int, int] = SAMPLE) -> Network | None:
+    """Learns in one task, which any executor can run again: the same rows give the same weights."""
+    found = sample_rows(docs, labels, sample).repartition(1).mapInArrow(_train_rows, "name string, weights binary").collect()
+    if not found:
+        return None
+    net = Network()
+    net.p = {r.name: np.frombuffer(bytes(r.weights), _F).reshape(net.p[r.name].shape) for r in found}
+    return net
 
 
 def score_column(net: Network | None, spark) -> callable:

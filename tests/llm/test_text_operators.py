@@ -199,7 +199,9 @@ def test_learns_stems(spark, no_docs):
         rows.append((i, " ".join(w), int(bad)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9999, 1), (0, None)], "doc_id long, toxic int")
-    net = toxicity.fit(docs, labels)
+    net = toxicity.fit(docs.withColumn("toxic", F.lit(1)).repartition(5), labels)  # a column that clashes
+    held = docs.filter(toxicity.fold(F.col("doc_id"), 3) == 1).select("doc_id", toxicity.score_column(net, spark)("text").alias("s")).collect()
+    assert len(held) > 100 and np.mean([(r.s >= 0.7) == (r.doc_id % 3 == 0) for r in held]) >= 0.97
     fresh = ["mo blargull ri", "mole talen " * 30, "", None, "   ", "mole " * 30_000 + "blargatt " + "mole " * 100]
     score = toxicity.score_column(net, spark)
     got = [r[0] for r in spark.createDataFrame([(x,) for x in fresh], "text string").coalesce(1).select(score("text")).collect()]
