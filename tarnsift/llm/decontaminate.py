@@ -2,15 +2,18 @@
 
 Numbers, names and units become typed placeholders; every window of template words of a text is
 hashed and joined by hash to the benchmark's windows; a passage is the windows of one item on one
-diagonal, and its slots must agree: one benchmark value stands for one document value throughout.
-So a question asked again with other numbers or names is caught, and one that merely shares
-scattered template words is not.
-
-Defined cases: null and empty texts match nothing; an item with fewer template words than a window
-matches nothing; items of fewer words than MIN_WORDS must match whole, and so must items so rich in slots that
-their windows with MIN_LITERALS literals can't cover MIN_WORDS (with fewer literals in all, with the same values); an item that occurs more than
-once in a text counts once, with its longest passage; repeated rows of one id count as one document;
-empty tables give an empty result; other columns of either table are not read.
+diagonal, and its slots must agree: one benchmark value stands for one document value throughout, and
+different names or units for different ones (different numbers may become equal).  So a question asked
+again with other numbers or names is caught, and one that merely shares scattered template words is not.
+A name is a capitalised word, wherever it stands, that is none of the usual STARTERS of a sentence.
+
+Defined cases: null and empty texts match nothing; items of fewer words than MIN_WORDS must match whole, and
+so must items so rich in slots that their windows with MIN_LITERALS literals can't cover MIN_WORDS (with
+fewer literals in all, with the same values); items of MIN_LITERALS words or more, but fewer than a
+window, must stand whole and with the same values in a text; still shorter ones match nothing, as any text may hold such a
+phrase; an item that occurs more than once in a text counts once, with its longest passage; an item id with
+several texts is found by each of them; repeated rows of one id count as one document; empty tables give
+an empty result; other columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +41,15 @@ UNITS = (
 )
 
 
+#: Capitalised words that begin sentences and are no names.
+STARTERS = (
+    "A|After|All|Also|An|And|Are|As|At|Because|Before|But|By|Calculate|Can|Compute|Consider|Convert|Define|Describe|Determine|Do|Does|Each|Every|"
+    "Explain|Find|For|From|Give|Given|Has|Have|He|Her|His|How|However|I|If|In|Is|It|Its|Let|List|Many|Name|No|Not|Now|Of|On|One|Or|Our|"
+    "Prove|Question|Show|She|So|Solve|Some|Suppose|Than|That|The|Their|Then|There|These|They|This|Those|To|Two|Under|Use|Was|We|What|"
+    "When|Where|Which|While|Who|Why|Will|With|Write|Yes|You|Your"
+)
+
+
 #: ASCII and general punctuation and signs.
 PUNCTUATION = r"[!-/:-@\[-`{-~¡-¿\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]"
 
@@ -46,7 +58,7 @@ def template_text(text: Column) -> Column:
     """Text with typed placeholders, lower case and without punctuation; white space is untouched, so
     its words stand at the places of the text's words."""
     # the capital is tested before what stands before it, which is rarer than the other way round
-    text = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;:]\s\p{Lu})[\p{L}'’-]*", "⟨name⟩")
+    text = F.regexp_replace(text, rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}'’-]\p{{Lu}})[\p{{L}}'’-]*+(?<!(?<![\p{{L}}\p{{N}}'’-])(?:{STARTERS}))", "⟨name⟩")
     text = F.regexp_replace(text, r"[0-9]+(?:[.,:/][0-9]+)*", "⟨num⟩")
     text = F.regexp_replace(text, rf"⟨num⟩(\s?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", "⟨num⟩$1⟨unit⟩")
     return F.lower(F.regexp_replace(text, f"{PUNCTUATION}+", ""))
@@ -79,27 +91,40 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
         "hash", F.xxhash64(*[F.get("template", F.col("at") + k) for k in range(window)]))
 
 
-def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_words: int, min_literals: int) -> DataFrame:
-    rows = _windows(items.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")).dropDuplicates(["id"]), window)
-    rows = rows.select(
-        F.col("id").alias("item_id"), F.size("template").alias("item_words"), F.col("at").alias("item_at"), "hash", "template", _words(F.col("raw")).alias("words"),
+def benchmark_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw): the distinct texts of each item."""
+    return items.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")).distinct()
+
+
+def benchmark_windows(items: DataFrame, window: int, min_words: int, min_literals: int, short: bool = False) -> DataFrame:
+    """The windows by which items are found; short: of the items of just so many words."""
+    rows = _windows(items, window).select(
+        F.col("id").alias("item_id"), F.xxhash64("raw").alias("item_key"), F.size("template").alias("item_words"), F.col("at").alias("item_at"), "hash", "template", _words(F.col("raw")).alias("words"),
         F.slice("template", F.col("at") + 1, window).alias("item_template"), F.slice(_words(F.col("raw")), F.col("at") + 1, window).alias("item_window"),
-    )
-    rows = rows.filter(F.col("item_words") >= window)
-    # windows that are mostly slots say nothing; an item whose other windows can't cover its need is matched
-    # whole, around its window of most literals; not from its first word, whose capital is a name after "Question:"
-    own = Window.partitionBy("item_id")
-    kept = F.when(F.col("literals") >= min_literals, F.col("item_at"))
-    covered = F.least(F.count(kept).over(own) + (window - 1), F.coalesce(F.max(kept).over(own) - F.min(kept).over(own) + window, F.lit(0)))
-    rows = rows.withColumn("literals", _literals("item_template")).withColumns({
-        "whole": covered < F.least(F.lit(min_words), F.col("item_words")),
-        "best": F.row_number().over(own.orderBy(F.col("item_at") == 0, F.col("literals").desc(), "item_at")) == 1})
+    ).withColumn("literals", _literals("item_template"))
+    if short:
+        rows = rows.filter(F.col("item_words") == window).withColumns({"whole": F.lit(True), "best": F.lit(True)})
+    else:
+        # windows that are mostly slots say nothing; an item whose other windows can't cover its need is matched
+        # whole, around its window of most literals; not from its first word, whose capital may be lost in a sentence
+        own = Window.partitionBy("item_id", "item_key")
+        kept = F.collect_set(F.when(F.col("literals") >= min_literals, F.col("item_at"))).over(own)
+        rows = rows.filter(F.col("item_words") >= window).withColumns({
+            "whole": _covered(kept, window) < F.least(F.lit(min_words), F.col("item_words")),
+            "best": F.row_number().over(own.orderBy(F.col("item_at") == 0, F.col("literals").desc(), "item_at")) == 1})
     return rows.filter(F.when(F.col("whole"), F.col("best")).otherwise(F.col("literals") >= min_literals)).select(
-        "item_id", "item_at", "item_words", "hash", F.array_join("item_template", " ").alias("item_text"),
+        "item_id", "item_key", "item_at", "item_words", "hash", F.array_join("item_template", " ").alias("item_text"),
         F.when(F.col("whole"), 0).otherwise(F.col("item_at")).alias("item_from"),
         F.when(F.col("whole"), F.col("template")).otherwise(F.col("item_template")).alias("item_template"),
         F.when(F.col("whole"), F.col("words")).otherwise(F.col("item_window")).alias("item_window"),
-        F.col("whole").alias("item_whole"), (F.col("whole") & (_literals("template") < min_literals)).alias("item_same"))
+        F.col("whole").alias("item_whole"), (F.col("whole") & (F.lit(short) | (_literals("template") < min_literals))).alias("item_same"))
+
+
+def _covered(places: Column, window: int) -> Column:
+    """Words that windows at these places cover together."""
+    at = F.array_sort(places)
+    steps = F.zip_with(F.slice(at, 2, 1 << 30), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(window)))
+    return F.when(F.size(at) == 0, 0).otherwise(F.aggregate(steps, F.lit(window), lambda total, step: total + step))
 
 
 def _literals(words: str) -> Column:
@@ -107,7 +132,7 @@ def _literals(words: str) -> Column:
 
 
 #: Of a window, or of all the item from item_from 0 on: item_whole; item_same: with so few literals that its values must be the same.
-_ITEM = ["item_id", "item_at", "item_words", "item_from", "item_whole", "item_same", "item_template", "item_window"]
+_ITEM = ["item_id", "item_key", "item_at", "item_words", "item_from", "item_whole", "item_same", "item_template", "item_window"]
 
 
 def _here(words: Column, at: Column, item_at: Column, item_from: Column, item_template: Column) -> Column:
@@ -137,12 +162,13 @@ def _found_at_once(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     ).filter(~F.col("item_whole") | _equal())
 
 
-def _found_by_shuffle(docs: DataFrame, rows: DataFrame, bench: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """The same for any benchmark: only (id, at, hash) are dealt by hash; a text's hits then meet it."""
-    hits = rows.select("id", "at", "hash").join(bench, "hash").groupBy("id").agg(
-        F.collect_list(F.struct("at", *_ITEM)).alias("hits")).withColumnRenamed("id", "_hit")
-    texts = docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw"))
-    texts = texts.join(hits, texts["id"].eqNullSafe(F.col("_hit"))).select("id", "hits", _words(template_text(F.col("raw"))).alias("template"), _words(F.col("raw")).alias("words"))
+def _found_by_shuffle(texts: DataFrame, rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """The same for any benchmark: only (id, text's hash, at, hash) are dealt by hash; a text's hits then meet it."""
+    hits = rows.select("id", F.xxhash64("raw").alias("key"), "at", "hash").join(bench, "hash").distinct().groupBy("id", "key").agg(
+        F.collect_list(F.struct("at", *_ITEM)).alias("hits")).withColumnsRenamed({"id": "_hit", "key": "_key"})
+    texts = texts.withColumn("key", F.xxhash64("raw")).distinct()
+    texts = texts.join(hits, texts["id"].eqNullSafe(F.col("_hit")) & (F.col("key") == F.col("_key"))).select(
+        "id", "hits", _words(template_text(F.col("raw"))).alias("template"), _words(F.col("raw")).alias("words"))
     cut = F.transform("hits", lambda h: F.struct(
         *[h[c].alias(c) for c in ("at", *_ITEM)],
         *[_here(F.col(c), h["at"], h["item_at"], h["item_from"], h["item_template"]).alias(c) for c in ("template", "words")]))
@@ -163,32 +189,42 @@ def leaks(
 ) -> DataFrame:
     """One row for each document and benchmark item whose passage it holds: id_col, item_id,
     n_windows, n_words (covered), n_slots, n_changed (slots whose values differ)."""
-    bench = benchmark_windows(items, item_id_col, item_text_col, window, min_words, min_literals)
-    rows = _windows(docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw")), window)
-    if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        found = _found_at_once(rows, F.broadcast(bench), window)
-    else:
-        found = _found_by_shuffle(docs, rows, bench, window, id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("id"), _trimmed(F.col(text_col)).alias("raw"))
+    items = benchmark_items(items, item_id_col, item_text_col)
+    # items shorter than a window need windows of their lengths, of which there are fewer than window
+    lengths = items.filter("raw != ''").select(F.size(_words(F.col("raw"))).alias("n")).filter(F.col("n").between(min_literals, window - 1)).distinct().collect()
+    found = None
+    for n in sorted([r.n for r in lengths] + [window]):
+        bench = benchmark_windows(items, n, min_words, min_literals, short=n < window)
+        rows = _windows(texts, n)
+        if bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            some = _found_at_once(rows, F.broadcast(bench), n)
+        else:
+            some = _found_by_shuffle(texts, rows, bench, n)
+        some = some.withColumn("window", F.lit(n))
+        found = some if found is None else found.unionByName(some)
     pairs = F.filter(
         F.transform(F.arrays_zip("item_template", "item_window", "words"), lambda x: F.struct(
             x["item_template"].alias("kind"), _bare(x["item_window"]).alias("item"), _bare(x["words"]).alias("doc"))),
         lambda p: is_slot(p["kind"]),
     )
-    found = found.select("id", "item_id", "item_at", "item_words", "item_whole", "item_same", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs"))
-    passages = found.groupBy("id", "item_id", "diagonal").agg(
+    found = found.select("id", "item_id", "item_key", "item_at", "item_words", "item_whole", "item_same", "window", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs"))
+    places = F.collect_set("item_at")
+    passages = found.groupBy("id", "item_id", "item_key", "window", "diagonal").agg(
         F.max("item_words").alias("item_words"),
         F.max("item_same").alias("same"),
-        F.when(F.max("item_whole"), F.max("item_words") - (window - 1)).otherwise(F.count_distinct("item_at")).alias("n_windows"),
+        F.when(F.max("item_whole"), F.max("item_words") - F.col("window") + 1).otherwise(F.size(places)).cast("long").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.when(F.max("item_whole"), F.max("item_words")).otherwise(F.max("item_at") - F.min("item_at") + window).alias("span"),
+        F.when(F.max("item_whole"), F.max("item_words")).otherwise(_covered(places, window)).cast("long").alias("n_words"),
     )
-    agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"]))))
-    words = F.least(F.col("n_windows") + (window - 1), F.col("span"))
-    passages = passages.withColumn("n_words", words.cast("long")).filter(
+    number = lambda p: p["kind"].contains("num")
+    agree = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"]))))) & (
+        F.size(F.filter("pairs", lambda p: ~number(p))) == F.size(F.array_distinct(F.transform(F.filter("pairs", lambda p: ~number(p)), lambda p: F.struct(p["kind"], p["doc"])))))
+    passages = passages.filter(
         agree & (~F.col("same") | F.forall("pairs", lambda p: p["item"] == p["doc"])) & (F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words"))))
     best = F.max_by(F.struct("n_windows", "n_words", F.size("pairs").cast("long").alias("n_slots"),
                              F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).cast("long").alias("n_changed")),
-                    F.struct("n_windows", "n_words", -F.col("diagonal")))
+                    F.struct("n_words", "n_windows", -F.col("diagonal"), "item_key"))
     return passages.groupBy("id", "item_id").agg(best.alias("b")).select(
         F.col("id").alias(id_col), "item_id", "b.n_windows", "b.n_words", "b.n_slots", "b.n_changed")
 

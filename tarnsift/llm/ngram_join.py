@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shuffle_partitions, table, without_ids
+from .common import bins_for, discard, materialize, table, without_ids
 from .components import components
 from .packing import SENT, pack, sent, unpack
 from .textkernel import grouped_sums, mix, pieces, shingle_sets
@@ -375,9 +375,8 @@ def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, threshold: Threshold = Threshold(),
 ) -> DataFrame:
     """(id, set_id, n_shingles, component) of every row; component is the smallest id reachable by links."""
-    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bins = shuffle_partitions(spark)
+    bins = bins_for(docs)
     rows = materialize(set_table(narrow, size), "sets")
     classes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"))
     common = common_shingles(narrow, size)

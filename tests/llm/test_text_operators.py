@@ -141,6 +141,41 @@ def test_leaks_of_items_rich_in_slots(spark, monkeypatch, most):
     assert leak(spark, [f"so {numbers} on", "20 21 22 23 24 25 26 27 28 29"], numbers) == {0: 0}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_leaks_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    g = np.random.default_rng(12)
+    plain = [f"w{chr(97 + i)}x" for i in range(12)]
+    pick = lambda *x: x[g.integers(len(x))]
+    word = lambda: pick(*plain, *plain, "Tom", "Ann", "The", f"{g.integers(3, 60)}", f"{g.integers(3, 60)} {pick('kg', 'm', 'h')}", "Élise's", "end. How")
+    items = [(i, " ".join(word() for _ in range(int(n)))) for i, n in enumerate([*g.integers(8, 30, 14), 4, 5, 7, 2, 12, 13])]
+    items += [(3, items[4][1]), (3, "  " + items[5][1]), (None, items[6][1] + "?"), (98, ""), (99, None)]
+    docs = []
+    for i in range(160):
+        words = items[g.integers(20)][1].split()
+        for _ in range(g.integers(0, 4)):  # some words are changed, to others of the same kind or not
+            words[g.integers(len(words))] = word()
+        if g.random() < 0.4:
+            to = {"Tom": "Bob", "Ann": pick("Bob", "Eve")}
+            words = [to.get(w, w) for w in words]
+        a, b = (0, len(words)) if g.random() < 0.7 else sorted(g.integers(0, len(words) + 1, 2))
+        docs.append((i, " ".join([word() for _ in range(g.integers(0, 6))] + words[a:b] + [word() for _ in range(g.integers(0, 6))])))
+    docs += [(200, None), (201, ""), (202, " \n"), (203, items[0][1].replace(" ", "\n  ")), (204, "zz " * 30_000 + items[1][1])]
+    want = brute.leaks(docs, items)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.n_words for r in found.collect()} == want and len(want) > 40
+
+
+def test_leaks_that_were_missed(spark):
+    twenty = "a farmer sold red apples and then bought pears from that market before noon while rain fell over fields nearby"
+    assert leak(spark, [twenty.replace(" that ", " this ")], twenty) == {0: 0}
+    ask = "Tom has 12 apples in a basket. Tom gives 5 apples to his friend. How many are left?"
+    assert leak(spark, [ask.replace("Tom", "Bob").replace("12", "9")], ask) == {0: 2}
+    two = "Ann has 12 apples in a basket. Joe gives 5 apples to his friend. How many are left?"
+    assert leak(spark, [two.replace("Ann", "Tom").replace("Joe", "Tom"), two.replace("5", "12"), "as ever the sky is blue"], two) == {1: 1}
+    assert leak(spark, ["so: the sky is blue today", "the sky is red"], "The sky is blue") == {0: 0}
+
+
 def test_without_leaks(spark, no_docs):
     d = spark.createDataFrame([(1, ITEM), (None, ITEM), (2, "clean"), (None, "clean too")], "doc_id long, text string")
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
