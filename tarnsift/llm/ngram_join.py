@@ -35,6 +35,8 @@ from .textkernel import grouped_sums, mix, pieces, shingle_sets
 _U = np.uint64
 #: Shingles that are not common a part should hold, where leaving out the others loses nothing.
 RARE = (4, 3, 2, 1)
+#: Bytes of text of which the shingles are made at once, about.
+PIECE = 2_000_000
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Groups of the count vectors.
@@ -241,7 +243,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            for first, data, offsets in pieces(b.column(1)):
+            for first, data, offsets in pieces(b.column(1), PIECE):
                 sets = shingle_sets(data, offsets, size)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()),
@@ -255,7 +257,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            for _, data, offsets in pieces(b.column(1)):
+            for _, data, offsets in pieces(b.column(1), PIECE):
                 sets = shingle_sets(data, offsets, size)
                 first = np.unique(set_ids(sets), return_index=True)[1]
                 values, n = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
@@ -287,7 +289,7 @@ def packed_keys(docs: DataFrame, size: int, t: Threshold, bins: int, common: np.
     def run(batches):
         held, n = [], 0
         for b in batches:
-            for _, data, offsets in pieces(b.column(1)):
+            for _, data, offsets in pieces(b.column(1), PIECE):
                 sets = shingle_sets(data, offsets, size)
                 keys, owner = part_keys(sets, t, common)
                 held.append((keys, set_ids(sets)[owner]))
@@ -347,7 +349,7 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
     def sets_of(batches):
         for b in batches:
             wanted = b.column(1).to_numpy(zero_copy_only=False)
-            for first, data, offsets in pieces(b.column(0)):
+            for first, data, offsets in pieces(b.column(0), PIECE):
                 sets = shingle_sets(data, offsets, size)
                 got = set_ids(sets)
                 keep = np.flatnonzero(got == wanted[first:first + len(got)])  # ids may repeat
@@ -403,7 +405,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     @F.arrow_udf("long")
     def set_of(text: pa.Array) -> pa.Array:
-        parts = [set_ids(shingle_sets(data, offsets, size)) for _, data, offsets in pieces(text)]
+        parts = [set_ids(shingle_sets(data, offsets, size)) for _, data, offsets in pieces(text, PIECE)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     kept = found.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "set_id").agg(F.max("n_shingles").alias("_n"))

@@ -35,6 +35,8 @@ REJECT = 0.7
 MONOTONE = 0.1
 #: Windows that are read at once.
 AT_ONCE = 1024
+#: Bytes of text of which the words are made inputs at once, about.
+PIECE = 1_000_000
 _U = np.uint64
 _F = np.float32
 
@@ -77,6 +79,18 @@ class Words:
         self.gram, self.gram_word = gram[order], of[order]
         self.gram_count = np.maximum(1, np.bincount(of, minlength=len(unique))).astype(_F)
 
+    @staticmethod
+    def joined(parts: list["Words"]) -> "Words":
+        """The words of several pieces as one; a word may then have several places."""
+        out = Words.__new__(Words)
+        n = np.cumsum([0] + [len(w.bucket) for w in parts])
+        tokens = np.cumsum([0] + [len(w.token) for w in parts])
+        out.token = np.concatenate([w.token + a for w, a in zip(parts, n)])
+        out.row_bounds = np.concatenate([[0], *[w.row_bounds[1:] + a for w, a in zip(parts, tokens)]])
+        out.gram_word = np.concatenate([w.gram_word + a for w, a in zip(parts, n)])
+        out.bucket, out.gram, out.gram_count = (np.concatenate([getattr(w, k) for w in parts]) for k in ("bucket", "gram", "gram_count"))
+        return out
+
     def gram_mean(self, vectors: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.bucket), vectors.shape[1]), _F)
         if len(self.gram):
@@ -239,7 +253,7 @@ def scores(net: Network | None, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     if net is None:
         return out
-    for first, data, offsets in pieces(column, 2_000_000):
+    for first, data, offsets in pieces(column, PIECE):
         if not len(data):
             continue
         words = Words(data, offsets)
@@ -256,9 +270,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network | Non
     if not len(labels) or labels.min() == labels.max():
         return None
     net, g = Network(seed), np.random.default_rng(seed)
-    data = pa.array(texts, pa.large_string())
-    _, data, offsets = next(pieces(data, 1 << 40))
-    words = Words(data, offsets)
+    words = Words.joined([Words(data, offsets) for _, data, offsets in pieces(pa.array(texts, pa.large_string()), PIECE)])
     begin, length, rows = windows(words.row_bounds)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(_F)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
