@@ -37,6 +37,8 @@ _U = np.uint64
 RARE = (4, 3, 2, 1)
 #: Bytes of text of which the shingles are made at once, about.
 PIECE = 2_000_000
+#: Bins of keys, as a multiple of the usual number, as keys are unpacked a bin at a time.
+SMALLER = 4
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Groups of the count vectors.
@@ -308,14 +310,15 @@ def meetings(packed: DataFrame, bins: int) -> DataFrame:
     most, however many sets share a key."""
 
     def run(batches):
-        # a task has whole bins; a bin holds about entries / bins keys
+        # a task has whole bins, packed but for one; a bin holds about entries / bins keys
         held: dict[int, list] = {}
         for b in batches:
             for i, body in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
-                keys, which, names = unpack(body, "u8", "u4", "i8")
-                held.setdefault(i, []).append((keys, names[which]))
-        for parts in held.values():
-            keys, owners = (np.concatenate(x) for x in zip(*parts))
+                held.setdefault(i, []).append(body)
+        for i in sorted(held):
+            parts = [unpack(body, "u8", "u4", "i8") for body in held.pop(i)]
+            keys, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[2][p[1]] for p in parts])
+            del parts
             order = np.lexsort((owners, keys))
             keys, owners = keys[order], owners[order]
             first = np.r_[True, keys[1:] != keys[:-1]]
@@ -378,7 +381,7 @@ def jaccard_components(
 ) -> DataFrame:
     """(id, set_id, n_shingles, component) of every row; component is the smallest id reachable by links."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bins = bins_for(docs)
+    bins = SMALLER * bins_for(docs)
     rows = materialize(set_table(narrow, size), "sets")
     classes = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n"))
     common = common_shingles(narrow, size)
