@@ -34,7 +34,7 @@ from .textkernel import grouped_sums, mix, pieces, shingle_sets
 
 _U = np.uint64
 #: Shingles that are not common a part should hold, where leaving out the others loses nothing.
-RARE = (4, 3, 2, 1)
+RARE = (6, 5, 4, 3, 2, 1)
 #: Bytes of text of which the shingles are made at once, about.
 PIECE = 2_000_000
 #: Bins of keys, as a multiple of the usual number, as keys are unpacked a bin at a time.
@@ -46,7 +46,7 @@ GROUPS = 64
 #: A block of a cell holds at most about so many points and shingles.
 BLOCK_POINTS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Shingles taken for common: at most so many, in at least LOCAL sets of a piece and TOTAL in all such.
-COMMON, LOCAL, TOTAL = 200_000, 3, 64
+COMMON, LOCAL, TOTAL = 200_000, 2, 8
 #: Cell members up to so many are broadcast to read their texts again; more are joined by a shuffle.
 BROADCAST_MEMBERS = 300_000
 
