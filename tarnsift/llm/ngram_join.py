@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bins_for, discard, materialize, table, without_ids
+from .common import bins_for, discard, materialize, small_batches, table, without_ids
 from .components import components
 from .packing import SENT, pack, sent, unpack
 from .textkernel import grouped_sums, mix, pieces, shingle_sets
@@ -40,7 +40,7 @@ PIECE = 2_000_000
 #: Bins of keys, as a multiple of the usual number, as keys are unpacked a bin at a time.
 SMALLER = 4
 #: Entries that a task gathers before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: Groups of the count vectors.
 GROUPS = 64
 #: A block of a cell holds at most about so many points and shingles.
@@ -380,6 +380,11 @@ def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, threshold: Threshold = Threshold(),
 ) -> DataFrame:
     """(id, set_id, n_shingles, component) of every row; component is the smallest id reachable by links."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, size, threshold)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: Threshold) -> DataFrame:
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bins = SMALLER * bins_for(docs)
     rows = materialize(set_table(narrow, size), "sets")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .textkernel import _BYTES, _LOWER, mix, pieces, word_hashes, word_spans
 
 #: Labelled rows of class 0 and 1 to learn from at most, and the longest text among them in bytes.
@@ -360,7 +360,8 @@ def _train_rows(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: tuple[int, int] = SAMPLE) -> Network | None:
     """Learns in one task, which any executor can run again: the same rows give the same weights."""
-    found = sample_rows(docs, labels, sample).repartition(1).mapInArrow(_train_rows, "name string, weights binary").collect()
+    with small_batches(docs.sparkSession):
+        found = sample_rows(docs, labels, sample).repartition(1).mapInArrow(_train_rows, "name string, weights binary").collect()
     if not found:
         return None
     net = Network()
