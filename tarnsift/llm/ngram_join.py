@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bins_for, discard, materialize, small_batches, table, without_ids
 from .components import components
 from .packing import SENT, pack, sent, unpack
-from .textkernel import grouped_sums, mix, pieces, shingle_sets
+from .textkernel import give_back, grouped_sums, mix, pieces, shingle_sets, tidy
 
 _U = np.uint64
 #: Shingles that are not common a part should hold, where leaving out the others loses nothing.
@@ -242,6 +242,7 @@ _SIZES = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", p
 def set_table(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, set_id) of every row."""
 
+    @tidy
     def run(batches):
         for b in batches:
             ids = b.column(0)
@@ -257,6 +258,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of at most COMMON shingles of many sets.  They only make the keys more telling."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for _, data, offsets in pieces(b.column(1), PIECE):
@@ -288,6 +290,7 @@ def packed_keys(docs: DataFrame, size: int, t: Threshold, bins: int, common: np.
                 rows.append((i, 0, 0, pack(keys[edge[i]:edge[i + 1]], which.astype(np.uint32), names)))
         return sent(rows)
 
+    @tidy
     def run(batches):
         held, n = [], 0
         for b in batches:
@@ -309,6 +312,7 @@ def meetings(packed: DataFrame, bins: int) -> DataFrame:
     """(a, b): each set with the smallest set of a key that they share.  As many rows as entries at
     most, however many sets share a key."""
 
+    @tidy
     def run(batches):
         # a task has whole bins, packed but for one; a bin holds about entries / bins keys
         held: dict[int, list] = {}
@@ -349,6 +353,7 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
     side = cells.withColumnRenamed("id", "_id")
     joined = docs.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("_id")))
 
+    @tidy
     def sets_of(batches):
         for b in batches:
             wanted = b.column(1).to_numpy(zero_copy_only=False)
@@ -371,6 +376,7 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
         pdf = pdf.drop_duplicates("set_id").sort_values("set_id")
         ids = pdf.set_id.to_numpy()
         found = links_within([np.frombuffer(x, _U) for x in pdf.shingles], pdf.side.to_numpy(), t)
+        give_back()
         return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
 
     return rows.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .textkernel import _BYTES, _LOWER, mix, pieces, word_hashes, word_spans
+from .textkernel import _BYTES, _LOWER, give_back, mix, pieces, tidy, word_hashes, word_spans
 
 #: Labelled rows of class 0 and 1 to learn from at most, and the longest text among them in bytes.
 SAMPLE, SAMPLE_BYTES = (1400, 700), 20_000
@@ -349,6 +349,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SA
     return found.withColumn("_place", place).filter(F.col("_place") <= F.when(F.col("toxic") == 1, sample[1]).otherwise(sample[0])).drop("_place")
 
 
+@tidy
 def _train_rows(batches):
     """One row: the weights, or nothing if there is nothing to learn."""
     rows = [r for b in batches for r in b.to_pylist()]
@@ -379,7 +380,9 @@ def score_column(net: Network | None, spark) -> callable:
             return pa.array(np.zeros(len(text)))
         reader = Network.__new__(Network)
         reader.p = shared.value
-        return pa.array(scores(reader, text))
+        out = pa.array(scores(reader, text))
+        give_back()
+        return out
 
     return score
 
