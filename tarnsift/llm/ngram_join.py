@@ -44,9 +44,10 @@ FLUSH = 300_000
 #: Groups of the count vectors.
 GROUPS = 64
 #: A block of a cell holds at most about so many points and shingles.
-BLOCK_POINTS, BLOCK_SHINGLES = 1024, 2_000_000
-#: Shingles taken for common: at most so many, in at least LOCAL sets of a piece and TOTAL in all such.
-COMMON, LOCAL, TOTAL = 200_000, 2, 8
+BLOCK_POINTS, BLOCK_SHINGLES = 2048, 6_000_000
+#: Shingles taken for common: at most so many, in at least LOCAL sets among COUNTED shingles and TOTAL in all such.
+COUNTED = 3_000_000
+COMMON, LOCAL, TOTAL = 200_000, 2, 6
 #: Cell members up to so many are broadcast to read their texts again; more are joined by a shuffle.
 BROADCAST_MEMBERS = 300_000
 
@@ -258,15 +259,24 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of at most COMMON shingles of many sets.  They only make the keys more telling."""
 
+    def often(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        own = n >= LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(n[own])], names=["shingle", "n"])
+
     @tidy
     def run(batches):
+        held, n = [], 0
         for b in batches:
             for _, data, offsets in pieces(b.column(1), PIECE):
                 sets = shingle_sets(data, offsets, size)
-                first = np.unique(set_ids(sets), return_index=True)[1]
-                values, n = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
-                own = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(n[own])], names=["shingle", "n"])
+                held += [sets[i] for i in np.unique(set_ids(sets), return_index=True)[1]]
+                n += sum(len(s) for s in sets)
+                if n >= COUNTED:
+                    yield often(held)
+                    held, n = [], 0
+        if held:
+            yield often(held)
 
     counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= TOTAL)
     rows = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON).select("shingle").collect()
