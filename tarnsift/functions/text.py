@@ -18,14 +18,16 @@ def term_match(cols: list[str], terms: list[str]) -> Column:
     return out
 
 
-#: Suffixes that say nothing about a name.
-GENERIC = ("hydrochloride", "sodium", "phosphate", "sulfate", "acetate", "chloride")
+#: Last words of names that span several molecules.
+GENERIC = ("conjugate", "complex", "analog", "analogue", "compound", "derivative")
 
 
 def fold_name(name: Column) -> Column:
-    """Lower case without generic suffixes; null if under three letters remain."""
-    x = F.trim(F.regexp_replace(F.lower(name), r"( (" + "|".join(GENERIC) + r"))+$", ""))
-    return F.when(F.length(x) >= 3, x)
+    """Lower case; null for names of under three letters and for those whose last word is generic."""
+    generic = name.endswith(" " + GENERIC[0])
+    for word in GENERIC[1:]:
+        generic = generic | name.endswith(" " + word)
+    return F.when((F.length(name) >= 3) & ~generic, F.lower(name))
 
 
 def wildcard(col: Column, pattern: str) -> Column:

@@ -98,13 +98,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pathway_products(disease: DataFrame, drugs: DataFrame, alpha: float = 2.0) -> DataFrame:
-    """Products of disease and drug scores over shared pathways: max, sum, mean, soft max and the
-    softmax-weighted max."""
+    """disease: (pathway, d_score, d_direction); drugs: (drug, pathway, score, direction).  Products over
+    shared pathways: max, sum, mean, soft max log(sum(exp(p)) - n), softmax-weighted max, and the
+    direction, positive where drug and disease go opposite ways."""
     x = drugs.join(disease, "pathway").withColumn("p", F.col("score") * F.col("d_score"))
     w = F.exp(alpha * F.col("p"))
+    above = F.sum(F.exp("p")) - F.count(F.lit(1))
     return x.groupBy("drug").agg(
         F.round(F.max("p"), 10).alias("p_max"), F.round(F.sum("p"), 10).alias("p_sum"), F.round(F.avg("p"), 10).alias("p_mean"),
-        F.round(F.log(F.sum(F.exp("p"))) - F.log(F.count(F.lit(1))), 10).alias("p_soft"), F.round(F.sum(F.col("p") * w) / F.sum(w), 10).alias("p_smooth"))
+        F.round(F.when(above > 0, F.log(above)).otherwise(F.lit(float("-inf"))), 6).alias("p_soft"), F.round(F.sum(F.col("p") * w) / F.sum(w), 10).alias("p_smooth"),
+        F.negative(F.sum(F.col("direction") * F.col("d_direction"))).cast("long").alias("direction"))
 
 
 def similarity_max(similar: DataFrame, enrichment: DataFrame) -> DataFrame:

@@ -57,10 +57,6 @@ class Tables:
         return self.lineitem.select(F.col("l_suppkey").alias("drug"), F.col("l_linenumber").alias("prot"), F.when(F.col("l_returnflag") == "A", -1).when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("direction"), F.col("l_quantity").alias("value"))
 
     def members(self) -> DataFrame:
-        """Sets of the ids that the SQL takes."""
-        return self.all_members().filter("set <= 40")
-
-    def all_members(self) -> DataFrame:
         return self.lineitem.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("item")).distinct()
 
 
@@ -74,7 +70,7 @@ scores2 AS (SELECT l_partkey AS key, CAST(count(*) AS DOUBLE) AS score FROM line
 edges AS (SELECT a.s_suppkey AS prot1, b.s_suppkey AS prot2, round(1 - abs(a.s_acctbal - b.s_acctbal) / 10000, 4) AS evidence
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 1000),
 measures AS (SELECT l_suppkey AS drug, l_linenumber AS prot, CASE l_returnflag WHEN 'A' THEN -1 WHEN 'N' THEN 0 ELSE 1 END AS direction, l_quantity AS value FROM lineitem),
-members AS (SELECT DISTINCT l_suppkey AS "set", l_partkey AS item FROM lineitem WHERE l_suppkey <= 40),
+members AS (SELECT DISTINCT l_suppkey AS "set", l_partkey AS item FROM lineitem),
 cons AS (SELECT drug, prot, max(evidence) AS evidence, CAST(sign(sum(direction)) AS INTEGER) AS direction FROM dpi GROUP BY 1, 2),
 blocks AS (SELECT score, count(*) AS n, count(*) FILTER (WHERE is_kt) AS hits FROM scores GROUP BY 1),
 steps AS (SELECT *, CAST(sum(n) OVER (ORDER BY score DESC) AS BIGINT) AS cum_n, CAST(sum(hits) OVER (ORDER BY score DESC) AS BIGINT) AS cum_hits FROM blocks),
@@ -294,15 +290,9 @@ def _(t):
     return inter.selectivity(t.dpi(), t.edges(), 0.95)
 
 
-@query("path_combo_add", """, k AS (SELECT DISTINCT drug FROM cons WHERE drug <= 200), b AS (SELECT prot, evidence, direction FROM cons WHERE drug = 1),
-  u AS (SELECT * FROM cons WHERE drug <= 200 UNION ALL SELECT drug, prot, evidence, direction FROM k CROSS JOIN b)
+@query("path_combo_add", """, k AS (SELECT DISTINCT drug FROM cons), b AS (SELECT prot, evidence, direction FROM cons WHERE drug = 1),
+  u AS (SELECT * FROM cons UNION ALL SELECT drug, prot, evidence, direction FROM k CROSS JOIN b)
   SELECT drug, prot, max(evidence) AS evidence, CASE WHEN min(direction) = max(direction) THEN max(direction) ELSE 0 END AS direction FROM u GROUP BY 1, 2""")
-def _(t):
-    c = inter.consensus(t.dpi()).filter("drug <= 200")
-    return inter.combo_add(c, c.filter("drug = 1"))
-
-
-@query("path_combo_add_all")
 def _(t):
     c = inter.consensus(t.dpi())
     return inter.combo_add(c, c.filter("drug = 1"))
@@ -591,25 +581,13 @@ def _(t):
     return paths.jaccard_pairs(t.members())
 
 
-@query("jaccard_pairs_all")
-def _(t):
-    return paths.jaccard_pairs(t.all_members())
-
-
 def _bound_or_near(t, dpi):
     d = dpi.select(F.col("drug").alias("set"), F.col("prot").alias("item"))
     near = d.join(t.edges().filter("evidence >= 0.95"), F.col("item") == F.col("prot1")).select("set", F.col("prot2").alias("item"))
     return rel.union_relation(d, near)
 
 
-@query("indirect_jaccard", """, g AS (SELECT DISTINCT drug AS "set", prot AS item FROM dpi WHERE drug <= 60 UNION SELECT drug, prot2 FROM dpi JOIN edges ON prot = prot1 WHERE drug <= 60 AND edges.evidence >= 0.95),
-  n AS (SELECT "set", count(*) AS n FROM g GROUP BY 1), c AS (SELECT a."set" AS set1, b."set" AS set2, count(*) AS c FROM g a JOIN g b ON a.item = b.item AND a."set" < b."set" GROUP BY 1, 2)
-  SELECT set1, set2, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x."set" = set1 JOIN n y ON y."set" = set2""")
-def _(t):
-    return paths.jaccard_pairs(_bound_or_near(t, t.dpi().filter("drug <= 60")))
-
-
-@query("indirect_jaccard_all")
+@query("indirect_jaccard")
 def _(t):
     return paths.dense_jaccard_pairs(_bound_or_near(t, t.dpi()))
 
@@ -619,13 +597,17 @@ def _(t):
     return paths.weighted_overlap(t.scores().select("key", F.col("score").alias("value")), t.scores2().filter("key % 3 <> 0").select("key", F.col("score").alias("value")))
 
 
-PATHWAYS = """, dis AS (SELECT s_suppkey AS pathway, round(abs(s_acctbal) / 10000, 4) AS d_score FROM supplier), pr AS (SELECT drug, evidence * d_score AS p FROM cons JOIN dis ON prot = pathway)"""
+PATHWAYS = """, dis AS (SELECT s_suppkey AS pathway, round(abs(s_acctbal) / 10000, 4) AS d_score, CAST(sign(s_acctbal) AS INTEGER) AS d_direction FROM supplier),
+  pr AS (SELECT drug, evidence * d_score AS p, direction * d_direction AS d FROM cons JOIN dis ON prot = pathway)"""
 
 
-@query("depend_aggs", PATHWAYS + " SELECT drug, round(max(p), 10) AS p_max, round(sum(p), 10) AS p_sum, round(avg(p), 10) AS p_mean, round(ln(sum(exp(p))) - ln(count(*)), 10) AS p_soft, round(sum(p * exp(2.0::DOUBLE * p)) / sum(exp(2.0::DOUBLE * p)), 10) AS p_smooth FROM pr GROUP BY 1")
+@query("depend_aggs", PATHWAYS + """ SELECT drug, round(max(p), 10) AS p_max, round(sum(p), 10) AS p_sum, round(avg(p), 10) AS p_mean,
+  round(CASE WHEN sum(exp(p)) > count(*) THEN ln(sum(exp(p)) - count(*)) ELSE '-infinity'::DOUBLE END, 6) AS p_soft,
+  round(sum(p * exp(2.0::DOUBLE * p)) / sum(exp(2.0::DOUBLE * p)), 10) AS p_smooth, CAST(-sum(d) AS BIGINT) AS direction FROM pr GROUP BY 1""")
 def _(t):
-    return paths.pathway_products(t.supplier.select(F.col("s_suppkey").alias("pathway"), F.round(F.abs("s_acctbal") / 10000, 4).alias("d_score")),
-                                  inter.consensus(t.dpi()).select("drug", F.col("prot").alias("pathway"), F.col("evidence").alias("score")))
+    return paths.pathway_products(
+        t.supplier.select(F.col("s_suppkey").alias("pathway"), F.round(F.abs("s_acctbal") / 10000, 4).alias("d_score"), F.signum("s_acctbal").cast("int").alias("d_direction")),
+        inter.consensus(t.dpi()).select("drug", F.col("prot").alias("pathway"), F.col("evidence").alias("score"), "direction"))
 
 
 @query("similarity_weighted_max", """, e AS (SELECT s_suppkey AS ref, round(abs(s_acctbal) / 20000, 4) AS p, round(1 + s_suppkey / 100, 4) AS enr FROM supplier), x AS (SELECT drug AS key, ref, (1 - p) * enr * evidence * evidence AS s FROM cons JOIN e ON prot = ref)
@@ -700,7 +682,8 @@ def _(t):
     return t.documents.filter(text.term_match(["text"], ["the", "und", "les"])).select("doc_id")
 
 
-@query("name_remap", """, x AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '( (hydrochloride|sodium|phosphate|sulfate|acetate|chloride))+$', '')) AS n FROM part) SELECT p_partkey, CASE WHEN len(n) >= 3 THEN n END AS name FROM x""")
+@query("name_remap", """SELECT p_partkey, CASE WHEN len(p_name) >= 3 AND NOT (ends_with(p_name, ' conjugate') OR ends_with(p_name, ' complex') OR ends_with(p_name, ' analog')
+  OR ends_with(p_name, ' analogue') OR ends_with(p_name, ' compound') OR ends_with(p_name, ' derivative')) THEN lower(p_name) END AS name FROM part""")
 def _(t):
     return t.part.select("p_partkey", text.fold_name(F.col("p_name")).alias("name"))
 

@@ -107,9 +107,22 @@ def test_spearman_of_ties(spark):
     assert paths.spearman(df, "x", "y").first()[0] == pytest.approx(0.948683, abs=1e-6)
 
 
+def test_pathway_products(spark):
+    disease = spark.createDataFrame([(1, 0.5, 1), (2, 2.0, -1), (3, 1.0, 1)], "pathway long, d_score double, d_direction int")
+    drugs = spark.createDataFrame([("a", 1, 1.0, 1), ("a", 2, 0.5, 1), ("a", 9, 5.0, 1), ("b", 3, 0.0, 0)], "drug string, pathway long, score double, direction int")
+    got = {r.drug: r for r in paths.pathway_products(disease, drugs).collect()}
+    # of 0.5 and 1.0: log(1.648721 + 2.718282 - 2) and (0.5 e + 1.0 e^2) / (e + e^2)
+    assert got["a"].p_soft == pytest.approx(0.861625, abs=2e-6) and got["a"].p_smooth == pytest.approx(0.865529, abs=1e-6)
+    assert (got["a"].p_max, got["a"].p_sum, got["a"].direction) == (1.0, 1.5, 0)
+    assert got["b"].p_soft == float("-inf") and got["b"].direction == 0
+
+
 def test_text(spark):
     df = spark.createDataFrame([("Aspirin Sodium", "A b."), ("xy", None)], "name string, text string")
-    assert [r[0] for r in df.select(text.fold_name(F.col("name"))).collect()] == ["aspirin", None]
+    assert [r[0] for r in df.select(text.fold_name(F.col("name"))).collect()] == ["aspirin sodium", None]
+    names = ["Ab", "Abc", "Folate conjugate", "Zinc Complex", "x analogue", "biocompound", "Derivative", None]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").coalesce(1).select(text.fold_name(F.col("n"))).collect()] == [
+        None, "abc", None, "zinc complex", None, "biocompound", "derivative", None]
     assert [r[0] for r in df.select(text.term_match(["text"], ["B"])).collect()] == [True, False]
     assert [r[0] for r in df.select(text.wildcard(F.col("name"), "a%sod%")).collect()] == [True, False]
 

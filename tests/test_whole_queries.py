@@ -26,14 +26,14 @@ def jaccards(sets):
     return sorted((a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b])
 
 
-def test_jaccard_pairs_all(spark, small):
+def test_jaccard_pairs(spark, small):
     path, lines, _ = small
     want = jaccards({s: {p for p, x, *_ in lines if x == s} for s in {x for _, x, *_ in lines}})
-    assert sorted(map(tuple, slate.QUERIES["jaccard_pairs_all"](spark, path).collect())) == want
+    assert sorted(map(tuple, slate.QUERIES["jaccard_pairs"](spark, path).collect())) == want
     assert any(b > 40 for _, b, _ in want)
 
 
-def test_path_combo_add_all(spark, small):
+def test_path_combo_add(spark, small):
     path, lines, _ = small
     bound = {}
     for drug, prot, discount, flag in lines:
@@ -46,17 +46,17 @@ def test_path_combo_add_all(spark, small):
             if base == 1:
                 both.setdefault((drug, prot), []).append(v)
     want = sorted((*k, max(e for e, _ in v), v[0][1] if len({d for _, d in v}) == 1 else 0) for k, v in both.items())
-    got = slate.QUERIES["path_combo_add_all"](spark, path).select("drug", "prot", "evidence", "direction").collect()
+    got = slate.QUERIES["path_combo_add"](spark, path).select("drug", "prot", "evidence", "direction").collect()
     assert sorted(map(tuple, got)) == want and any(d > 200 for d, *_ in want)
 
 
 @pytest.mark.parametrize("block,step", [(1024, 2048), (3, 2)])
-def test_indirect_jaccard_all(spark, small, monkeypatch, block, step):
+def test_indirect_jaccard(spark, small, monkeypatch, block, step):
     monkeypatch.setattr(paths, "BLOCK_SETS", block)
     monkeypatch.setattr(paths, "STEP_ITEMS", step)
     path, lines, supplier = small
     near = {a: {b for b, m, y in supplier if a != b and n == m and abs(x - y) < 1000 and round(1 - abs(x - y) / 10000, 4) >= 0.95} for a, n, x in supplier}
     sets = {d: {p for x, p, *_ in lines if x == d} for d in {x for x, *_ in lines}}
     want = jaccards({d: s.union(*(near[p] for p in s)) for d, s in sets.items()})
-    assert sorted(map(tuple, slate.QUERIES["indirect_jaccard_all"](spark, path).collect())) == want
+    assert sorted(map(tuple, slate.QUERIES["indirect_jaccard"](spark, path).collect())) == want
     assert any(b > 60 for _, b, _ in want) and any(len(v) for v in near.values())
