@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefix import least_from_above, running
 from .ranking import score_blocks, tie_ranks
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -28,11 +29,10 @@ def metric(name: str):
 
 
 def _steps(df: DataFrame) -> DataFrame:
-    """One row a distinct score from the best: n, hits and their running sums.  Windows are over
-    distinct scores only."""
+    """One row a distinct score: n, hits and their sums from the best score to it."""
     n = df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_kt").alias("hits"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return n.withColumns({"cum_n": F.sum("n").over(down), "cum_hits": F.sum("hits").over(down)})
+    x = running(n, "score", {"cum_n": "n", "cum_hits": "hits"})
+    return x.withColumns({"cum_n": F.col("cum_n") + F.col("n"), "cum_hits": F.col("cum_hits") + F.col("hits")})
 
 
 @metric("auroc")
@@ -84,12 +84,34 @@ def score_rating(df: DataFrame, index: int = 800) -> DataFrame:
 
 
 @metric("sigma_portion")
-def sigma_portion(df: DataFrame, center: float = 800, width: float = 200) -> DataFrame:
-    """Share of the sigma weights of all ranks that labelled keys hold; ranks are block middles."""
+def sigma_portion(df: DataFrame, center: float = 1000, width: float = 200, weighted: bool = False, name: str = "sigma_portion") -> DataFrame:
+    """Share of the sigma weights of all ranks, by score if weighted, that labelled keys hold.  Ranks are from 0, of
+    tied keys the middle of their block."""
     b = score_blocks(df)
     sigma = 1 / (1 + F.exp(-(center - (F.col("ahead") + F.floor(F.col("tied") / 2))) / (width / 2.0)))
-    x = df.join(b, "score").withColumn("s", sigma)
-    return x.agg(F.round(F.sum(F.when(F.col("is_kt"), F.col("s")).otherwise(0.0)) / F.sum("s"), 6).alias("sigma_portion"))
+    x = df.join(b, "score").withColumn("s", sigma * F.col("score") if weighted else sigma)
+    return x.agg(F.round(F.sum(F.when(F.col("is_kt"), F.col("s")).otherwise(0.0)) / F.sum("s"), 6).alias(name))
+
+
+@metric("sigma_portion_100")
+def sigma_portion_100(df: DataFrame) -> DataFrame:
+    return sigma_portion(df, 100, 20, name="sigma_portion_100")
+
+
+@metric("sigma_portion_weighted")
+def sigma_portion_weighted(df: DataFrame) -> DataFrame:
+    return sigma_portion(df, weighted=True, name="sigma_portion_weighted")
+
+
+@metric("sigma_portion_weighted_100")
+def sigma_portion_weighted_100(df: DataFrame) -> DataFrame:
+    return sigma_portion(df, 100, 20, True, "sigma_portion_weighted_100")
+
+
+@metric("sor1000_continuous")
+def sor1000_continuous(df: DataFrame) -> DataFrame:
+    """sor1000 and a hundredth of score_rating."""
+    return sor1000(df).crossJoin(score_rating(df)).select(F.round(F.col("sor1000") + 0.01 * F.col("score_rating"), 6).alias("sor1000_continuous"))
 
 
 @metric("running_es")
@@ -100,27 +122,40 @@ def running_es(df: DataFrame) -> DataFrame:
     t = n.agg(F.sum(F.col("h") * F.abs("score")).alias("hw"), F.sum("m").alias("mw"))
     x = n.crossJoin(F.broadcast(t))
     step = F.coalesce(F.col("h") * F.abs("score") / F.nullif("hw", F.lit(0.0)), F.lit(0.0)) - F.coalesce(F.col("m") / F.nullif("mw", F.lit(0)), F.lit(0.0))
-    run = F.sum(step).over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    e = x.select(run.alias("res")).agg(F.greatest(F.max("res"), F.lit(0.0)).alias("hi"), F.least(F.min("res"), F.lit(0.0)).alias("lo"))
+    run = running(x.select("score", step.alias("step")), "score", {"ahead": "step"})
+    e = run.select((F.col("ahead") + F.col("step")).alias("res")).agg(F.greatest(F.max("res"), F.lit(0.0)).alias("hi"), F.least(F.min("res"), F.lit(0.0)).alias("lo"))
     return e.select(F.round(F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")), 6).alias("es"))
 
 
+_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """Sums of logs below 256, from there Stirling's series."""
+    x = np.maximum(np.asarray(n, float), 1.0)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(np.asarray(n) < len(_SMALL), _SMALL[np.clip(n, 0, len(_SMALL) - 1).astype(int)], series)
+
+
+#: Terms of a Fisher p that are summed at once.
+TERMS = 65_536
+
+
 def fisher_greater(a: np.ndarray, row: np.ndarray, col: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """P(overlap >= a) of a hypergeometric, with fixed margins, by log factorials."""
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    out = np.empty(len(a))
-    for i in range(len(a)):
-        x = np.arange(a[i], min(row[i], col[i]) + 1)
-        if not len(x):
-            out[i] = 0.0
-            continue
-        n, r, c = total[i], row[i], col[i]
-        base = math.lgamma(r + 1) + math.lgamma(n - r + 1) + math.lgamma(c + 1) + math.lgamma(n - c + 1) - math.lgamma(n + 1)
-        ok = n - r - c + x >= 0
-        x = x[ok]
-        logs = base - lg(x + 1) - lg(r - x + 1) - lg(c - x + 1) - lg(n - r - c + x + 1)
-        out[i] = min(1.0, float(np.exp(logs).sum()))
-    return out
+    """P(overlap >= a) of a hypergeometric, with fixed margins, by log factorials.  Terms past the likeliest
+    overlap only fall, so a sum ends where they no longer add to it."""
+    base = sum(log_factorial(x) for x in (row, total - row, col, total - col)) - log_factorial(total)
+    out = np.zeros(len(a))
+    for i, (first, r, c, n) in enumerate(zip(a.tolist(), row.tolist(), col.tolist(), total.tolist())):
+        first, end, top = max(first, r + c - n, 0), min(r, c) + 1, (r + 1) * (c + 1) // (n + 2)
+        while first < end:
+            x = np.arange(first, min(first + TERMS, end))
+            part = np.exp(base[i] - log_factorial(x) - log_factorial(r - x) - log_factorial(c - x) - log_factorial(n - r - c + x))
+            out[i] += part.sum()
+            first += TERMS
+            if first > top and part[-1] * (end - first) < out[i] * 1e-17:
+                break
+    return np.minimum(out, 1.0)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -129,22 +164,56 @@ def fisher_p(a: pd.Series, row: pd.Series, col: pd.Series, total: pd.Series) ->
 
 
 def bh_fdr(df: DataFrame, key: str = "key", p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg q: least p * n / rank from the largest p on, at most 1."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(p, key))
-    up = Window.orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_x", F.col(p) * n / rank).withColumn("q", F.round(F.least(F.lit(1.0), F.min("_x").over(up)), 6)).drop("_x")
+    """Benjamini-Hochberg q: least p * n / rank from the largest p on, at most 1.  Equal p have equal q; a null
+    p is no test and its q is null."""
+    places = running(df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "_p", {"_below": "_n"}, descending=False)
+    total = F.broadcast(df.agg(F.count(p).alias("_total")))
+    x = places.crossJoin(total).withColumn("_x", F.col("_p") * F.col("_total") / (F.col("_below") + F.col("_n")))
+    q = least_from_above(x, "_p", "_x", "_q").select("_p", "_q")
+    return df.join(q, F.col(p) == F.col("_p"), "left").withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_q")))).drop("_p", "_q")
+
+
+def place_tests(df: DataFrame) -> DataFrame:
+    """One-sided Fisher tests at the tie-adjusted places (from 0) of hits and the places right before them: place,
+    found (hits up to there), kts, total, p and Benjamini-Hochberg q.  p of 0 becomes the least double above it."""
+    blocks = running(df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_kt").alias("hits")), "score", {"start": "n", "before": "hits"}).filter("hits > 0")
+    first = F.col("start") + F.floor((F.col("n") - F.col("hits")) / 2)
+    # hits of a block are side by side, so its places are a run, with the one right before it
+    i = F.explode(F.sequence(F.lit(0), F.col("hits"))).alias("i")
+    at = blocks.select(first.alias("first"), "before", i).select((F.col("first") + F.col("i") - 1).cast("long").alias("place"), (F.col("before") + F.col("i")).alias("found"))
+    t = df.agg(F.count_if("is_kt").alias("kts"), F.count(F.lit(1)).alias("total"))
+    p = at.filter("place >= 0").distinct().crossJoin(F.broadcast(t))
+    return bh_fdr(p.withColumn("p", F.greatest(fisher_p("found", F.col("place") + 1, "kts", "total"), F.lit(5e-324))), "place")
 
 
 @metric("febe")
 def febe(df: DataFrame) -> DataFrame:
-    """-log10 of the least BH-corrected Fisher p at the ranks of hits.  One test a distinct score that
-    has hits."""
-    s = _steps(df).filter("hits > 0")
-    t = df.agg(F.count_if("is_kt").alias("kts"), F.count(F.lit(1)).alias("total"))
-    p = s.crossJoin(F.broadcast(t)).select(
-        F.col("cum_n").alias("key"), fisher_p(F.col("cum_hits"), F.col("cum_n"), F.col("kts"), F.col("total")).alias("p"))
-    return bh_fdr(p).agg(F.round(-F.log10(F.min("q")), 6).alias("febe"))
+    """Largest -log10 q of place_tests; 0 without hits."""
+    return place_tests(df).agg(F.round(F.coalesce(-F.log10(F.min("q")), F.lit(0.0)), 6).alias("febe"))
+
+
+@metric("wfebe")
+def wfebe(df: DataFrame) -> DataFrame:
+    """As febe, each value by the share of the ordering from its place on; 0 without hits."""
+    return place_tests(df).agg(F.round(F.coalesce(F.max(-F.log10("q") * (1 - F.col("place") / F.col("total"))), F.lit(0.0)), 6).alias("wfebe"))
+
+
+#: What is added to the smallest cells of a table whose odds ratio has a zero divisor.  Fixed value.
+BUMP = 0.1
+
+
+@metric("glf")
+def glf(df: DataFrame) -> DataFrame:
+    """Largest log2 odds ratio of place_tests by the share of the ordering from its place on; 0 without hits.
+
+    Where the ratio is not finite, zeros and the least other cell get BUMP more, larger cells their even share of it."""
+    cells = [F.col("found"), F.col("total") - F.col("kts") - F.col("place") - 1 + F.col("found"), F.col("place") + 1 - F.col("found"), F.col("kts") - F.col("found")]
+    x = place_tests(df).select("place", "total", *[c.cast("double").alias(n) for c, n in zip(cells, "abcd")])
+    x = x.withColumn("least", F.least(*[F.when(F.col(n) > 0, F.col(n)) for n in "abcd"]))
+    raised = {n: F.when(F.col("c") * F.col("d") > 0, F.col(n)).when(F.col(n) <= F.col("least"), F.col(n) + BUMP).otherwise(F.col(n) * (1 + BUMP / (F.col("least") + BUMP))) for n in "abcd"}
+    odds = x.withColumns(raised).withColumn("odds", F.col("a") * F.col("b") / (F.col("c") * F.col("d")))
+    value = F.when(F.col("odds") == 0, 0.0).otherwise(F.log2("odds")) * (1 - F.col("place") / F.col("total"))
+    return odds.agg(F.round(F.coalesce(F.max(value), F.lit(0.0)), 6).alias("glf"))
 
 
 #: Draws that are held at once.

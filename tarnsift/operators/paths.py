@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def path_scores(tissues: DataFrame, interactions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Per drug the sum over tissues of its best path's evidence, and the summed negative direction
@@ -91,10 +93,12 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson over mid-ranks."""
-    def mid(c):
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return df.select(mid(x).alias("rx"), mid(y).alias("ry")).agg(F.round(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)), 6).alias("spearman"))
+    """Pearson over mid-ranks of rows that have both; 0 where it is undefined."""
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    for c in "xy":
+        blocks = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, {"ahead": "n"}, descending=False)
+        rows = rows.join(blocks.select(c, (F.col("ahead") + (F.col("n") + 1) / 2.0).alias(f"r{c}")), c)
+    return rows.agg(F.round(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)), 6).alias("spearman"))
 
 
 def pathway_products(disease: DataFrame, drugs: DataFrame, alpha: float = 2.0) -> DataFrame:

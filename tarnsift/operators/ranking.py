@@ -1,7 +1,7 @@
 """Orderings (key, score): ranks with exact tie rules.
 
-Missing scores are not zero.  NaN ranks as minus infinity.  All ranks are window functions over the
-score; ties in row order go by key.
+Missing scores are not zero.  NaN ranks as minus infinity.  Ranks come from sums over distinct scores
+(prefix.py); ties in row order go by key.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
+
 def nan_last(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")))
 
@@ -16,9 +19,7 @@ def nan_last(df: DataFrame) -> DataFrame:
 def score_blocks(df: DataFrame) -> DataFrame:
     """One row a distinct score: n tied and ahead strictly above, from one aggregate; the running sum
     is over distinct scores, not rows."""
-    n = df.groupBy("score").agg(F.count(F.lit(1)).alias("tied"))
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("ahead", F.coalesce(F.sum("tied").over(above), F.lit(0)))
+    return running(df.groupBy("score").agg(F.count(F.lit(1)).alias("tied")), "score", {"ahead": "tied"})
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -36,8 +37,7 @@ def ranked(df: DataFrame) -> DataFrame:
 def tie_ranks(df: DataFrame) -> DataFrame:
     """Rows with is_kt: their 0-based ranks, packed in the middle of each tied block."""
     blocks = df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_kt").alias("hits"))
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    blocks = running(blocks, "score", {"start": "n"})
     hit = df.filter("is_kt").withColumn("_i", F.row_number().over(Window.partitionBy("score").orderBy("key")) - 1)
     return hit.join(blocks, "score").select(
         "key", "score", (F.col("start") + F.floor((F.col("n") - F.col("hits")) / 2) + F.col("_i")).cast("long").alias("tie_rank"))
@@ -46,8 +46,7 @@ def tie_ranks(df: DataFrame) -> DataFrame:
 def hit_cdf(df: DataFrame) -> DataFrame:
     """Steps of cumulative hits by rank: in a block half the misses, all hits, the rest."""
     blocks = df.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_kt").alias("hits"))
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumns({"start": F.coalesce(F.sum("n").over(above), F.lit(0)), "before": F.coalesce(F.sum("hits").over(above), F.lit(0))})
+    blocks = running(blocks, "score", {"start": "n", "before": "hits"})
     return blocks.filter("hits > 0").select(
         "score", (F.col("start") + F.floor((F.col("n") - F.col("hits")) / 2)).cast("long").alias("first_rank"),
         F.col("before").alias("hits_before"), (F.col("before") + F.col("hits")).alias("hits_after"))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import score_blocks
+
 
 def threshold(df: DataFrame, least: float, col: str = "evidence") -> DataFrame:
     """Rows with col >= least; null and NaN go."""
@@ -48,9 +50,16 @@ def score_filter(df: DataFrame, spec: str, score: str = "score", key: str = "key
     if not spec.startswith("top") or not spec[3:].rstrip("%").isdigit():
         raise ValueError(f"bad score filter {spec!r}")
     n = int(spec[3:].rstrip("%"))
-    if spec.endswith("%"):
-        n = df.count() * n // 100
-    return df.orderBy(F.col(score).desc(), key).limit(n)
+    if not spec.endswith("%"):
+        return df.orderBy(F.col(score).desc(), key).limit(n)
+    n = df.count() * n // 100
+    blocks = score_blocks(df.select(F.col(score).alias("score")))
+    last = blocks.filter((F.col("ahead") < n) & (F.col("ahead") + F.col("tied") >= n)).first()
+    if last is None:
+        return df.limit(0)
+    above = F.col(score).isNotNull() if last.score is None else F.col(score) > last.score
+    # only the tied rows at the cut are ordered
+    return df.filter(above).unionByName(df.filter(F.col(score).eqNullSafe(F.lit(last.score))).orderBy(key).limit(n - last.ahead))
 
 
 def hash_sample(df: DataFrame, key: str, num: int, denom: int, seed: str) -> DataFrame:

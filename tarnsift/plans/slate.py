@@ -431,22 +431,71 @@ def _(t):
     return metrics.score_rating(t.scores())
 
 
-@query("sigma_portion", ", g AS (SELECT is_kt, 1 / (1 + exp(-(800 - (cum_n - n + n // 2)) / 100.0::DOUBLE)) AS s FROM scores s JOIN steps b ON s.score = b.score) SELECT round(sum(s) FILTER (WHERE is_kt) / sum(s), 6) AS sigma_portion FROM g")
+PORTION = ", g AS (SELECT is_kt, {w} / (1 + exp(-({c} - (cum_n - n + n // 2)) / {h})) AS s FROM scores s JOIN steps b ON s.score = b.score) SELECT round(sum(s) FILTER (WHERE is_kt) / sum(s), 6) AS {n} FROM g"
+
+
+@query("sigma_portion", PORTION.format(w=1, c=1000, h="100.0::DOUBLE", n="sigma_portion"))
 def _(t):
     return metrics.sigma_portion(t.scores())
 
 
+@query("sigma_portion_100", PORTION.format(w=1, c=100, h="10.0::DOUBLE", n="sigma_portion_100"))
+def _(t):
+    return metrics.sigma_portion_100(t.scores())
+
+
+@query("sigma_portion_weighted", PORTION.format(w="s.score", c=1000, h="100.0::DOUBLE", n="sigma_portion_weighted"))
+def _(t):
+    return metrics.sigma_portion_weighted(t.scores())
+
+
+@query("sigma_portion_weighted_100", PORTION.format(w="s.score", c=100, h="10.0::DOUBLE", n="sigma_portion_weighted_100"))
+def _(t):
+    return metrics.sigma_portion_weighted_100(t.scores())
+
+
+@query("sor1000_continuous", """, a AS (""" + SIGMA.format(c=800, h="100.0::DOUBLE", n="x") + """), b AS (SELECT round(avg(least(1.0, score / (SELECT min(score) FROM (SELECT score FROM scores ORDER BY score DESC LIMIT 801)))), 6) AS y FROM scores WHERE is_kt)
+  SELECT round(x + 0.01::DOUBLE * y, 6) AS sor1000_continuous FROM a, b""")
+def _(t):
+    return metrics.sor1000_continuous(t.scores())
+
+
 @query("running_es", """, w AS (SELECT score, hits * abs(score) / sum(hits * abs(score)) OVER () - (n - hits) / sum(n - hits) OVER () AS d FROM blocks), r AS (SELECT sum(d) OVER (ORDER BY score DESC) AS e FROM w),
   x AS (SELECT greatest(max(e), 0.0) AS hi, least(min(e), 0.0) AS lo FROM r) SELECT round(CASE WHEN hi >= -lo THEN hi ELSE lo END, 6) AS es FROM x""")
 def _(t):
     return metrics.running_es(t.scores())
 
 
-@query("febe")
+PLACES = """, h AS (SELECT tie_rank AS r, row_number() OVER (ORDER BY tie_rank) AS f FROM ties), spots AS (SELECT r AS place, f AS found FROM h UNION SELECT r - 1, f - 1 FROM h WHERE r > 0),
+  m AS (SELECT place, found, place + 1 AS k, (SELECT count(*) FROM h) AS c, (SELECT count(*) FROM scores) AS n FROM spots),
+  e AS (SELECT place, exp(lgamma(k + 1) + lgamma(n - k + 1) + lgamma(c + 1) + lgamma(n - c + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(k - x + 1) - lgamma(c - x + 1) - lgamma(n - k - c + x + 1)) AS e
+    FROM (SELECT *, unnest(range(CAST(greatest(found, k + c - n) AS BIGINT), CAST(least(k, c) AS BIGINT) + 1)) AS x FROM m)),
+  p AS (SELECT place, least(1.0::DOUBLE, sum(e)) AS p FROM e GROUP BY 1),
+  z AS (SELECT place, p, count(*) OVER () AS tests, count(*) OVER (ORDER BY p) AS upto FROM p),
+  q AS (SELECT m.*, least(1.0::DOUBLE, min(p * tests / upto) OVER (ORDER BY p DESC)) AS q FROM z JOIN m ON z.place = m.place)
+"""
+
+
+@query("febe", PLACES + "SELECT round(coalesce(max(-log10(q)), 0.0), 6) AS febe FROM q")
 def _(t):
     return metrics.febe(t.scores())
 
 
+@query("wfebe", PLACES + "SELECT round(coalesce(max(-log10(q) * (1 - place / n)), 0.0), 6) AS wfebe FROM q")
+def _(t):
+    return metrics.wfebe(t.scores())
+
+
+@query("glf", PLACES + """, l AS (SELECT place, n, found::DOUBLE AS a, (n - c - k + found)::DOUBLE AS b, (k - found)::DOUBLE AS c, (c - found)::DOUBLE AS d FROM m),
+  s AS (SELECT *, least(nullif(a, 0), nullif(b, 0), nullif(c, 0), nullif(d, 0)) AS s FROM l),
+  o AS (SELECT place, n, CASE WHEN c * d > 0 THEN a * b / (c * d) ELSE
+    (CASE WHEN a <= s THEN a + 0.1 ELSE a * (1 + 0.1 / (s + 0.1)) END) * (CASE WHEN b <= s THEN b + 0.1 ELSE b * (1 + 0.1 / (s + 0.1)) END) /
+    ((CASE WHEN c <= s THEN c + 0.1 ELSE c * (1 + 0.1 / (s + 0.1)) END) * (CASE WHEN d <= s THEN d + 0.1 ELSE d * (1 + 0.1 / (s + 0.1)) END)) END AS o FROM s)
+  SELECT round(max(CASE WHEN o = 0 THEN 0 ELSE log2(o) END * (1 - place / n)), 6) AS glf FROM o""")
+def _(t):
+    return metrics.glf(t.scores())
+
+
 @query("set_enrichment")
 def _(t):
     brands = t.part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("key"))
@@ -456,7 +505,7 @@ def _(t):
 @query("bh_fdr", """, p AS (SELECT s_suppkey AS key, round(abs(s_acctbal) / 20000, 6) AS p FROM supplier), x AS (SELECT key, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, key) AS x FROM p)
   SELECT key, p, round(least(1.0, min(x) OVER (ORDER BY p DESC, key DESC)), 6) AS q FROM x""")
 def _(t):
-    return metrics.bh_fdr(t.supplier.select(F.col("s_suppkey").alias("key"), F.round(F.abs("s_acctbal") / 20000, 6).alias("p")))
+    return metrics.bh_fdr(t.supplier.select(F.col("s_suppkey").alias("key"), F.round(F.abs("s_acctbal") / 20000, 6).alias("p"))).withColumn("q", F.round("q", 6))
 
 
 @query("fisher_exact", """, f AS (SELECT l_suppkey AS s, count(*) AS r, count(*) FILTER (WHERE l_returnflag = 'R') AS a FROM lineitem GROUP BY 1), t AS (SELECT sum(r) AS n, sum(a) AS c FROM f),
