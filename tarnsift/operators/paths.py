@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import fisher_p
 from .prefix import running
 
 
@@ -151,3 +152,33 @@ def tree_leaves(df: DataFrame, code: str, generations: int = 3) -> DataFrame:
     heads = F.when(F.size(parts) > generations, F.transform(F.sequence(F.lit(1), F.size(parts) - generations), lambda i: F.array_join(F.slice(parts, 1, i), ".")))
     used = df.select(F.explode(heads).alias("_c")).distinct().withColumn("_used", F.lit(True))
     return df.join(used, F.col(code) == F.col("_c"), "left").groupBy("entry").agg(F.max(F.col("_used").isNull()).alias("is_leaf"))
+
+
+def path_groups(rows: DataFrame, group: str, evidences: list[str]) -> DataFrame:
+    """rows: one a path.  Means of a path's evidences, summed by (drug, group)."""
+    mean = sum((F.col(e) for e in evidences[1:]), F.col(evidences[0])) / len(evidences)
+    return rows.groupBy("drug", group).agg(F.round(F.sum(mean), 6).alias("score"))
+
+
+def pathway_portions(drugs: DataFrame, pathways: DataFrame) -> DataFrame:
+    """drugs: (drug, prot, evidence); pathways: distinct (pathway, prot).  Evidence within a pathway by its number of
+    proteins, where positive, and the whole number above it."""
+    size = pathways.groupBy("pathway").agg(F.count(F.lit(1)).alias("_n"))
+    got = drugs.join(pathways, "prot").groupBy("drug", "pathway").agg(F.sum("evidence").alias("_e")).filter("_e > 0").join(size, "pathway")
+    return got.select("drug", "pathway", F.round(F.col("_e") / F.col("_n"), 6).alias("portion"), F.ceil(F.round(F.col("_e") / F.col("_n"), 6)).cast("long").alias("binary"))
+
+
+def pathway_overrepresentation(drugs: DataFrame, pathways: DataFrame, n_prots: int, least: float = 2.0) -> DataFrame:
+    """drugs: distinct (drug, prot); pathways: distinct (pathway, prot), all among n_prots.  -log10 of the one-sided Fisher
+    p of the shared proteins, above least; pairs that share none have p 1 and never are."""
+    size = lambda df, c, n: df.groupBy(c).agg(F.count(F.lit(1)).alias(n))
+    both = drugs.join(pathways, "prot").groupBy("drug", "pathway").agg(F.count(F.lit(1)).alias("shared"))
+    x = both.join(size(drugs, "drug", "n_drug"), "drug").join(size(pathways, "pathway", "n_pathway"), "pathway")
+    p = F.greatest(fisher_p("shared", "n_drug", "n_pathway", F.lit(n_prots).cast("long")), F.lit(5e-324))
+    return x.select("drug", "pathway", (-F.log10(p)).alias("score")).filter(F.col("score") > least)
+
+
+def background_distance(df: DataFrame, background: DataFrame) -> DataFrame:
+    """(key, score) against a background (key, score), 0 where it lacks a key: 1 less Spearman's correlation."""
+    x = df.select("key", F.col("score").alias("x")).join(background.select("key", F.col("score").alias("y")), "key", "left").fillna(0.0, ["y"])
+    return spearman(x, "x", "y").select(F.round(1 - F.col("spearman"), 6).alias("bg_distance"))

@@ -142,3 +142,50 @@ def composed_attributes(items: DataFrame, shared: DataFrame, on: str, name: str)
     """An item's own attribute, else its group's."""
     other = shared.select(on, F.col(name).alias("_shared"))
     return items.join(other, on, "left").withColumn(name, F.coalesce(name, "_shared")).drop("_shared")
+
+
+def property_pairs(eav: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """(value1, value2) of two attributes for each key that has both; every pair of values, repeats kept."""
+    a = eav.filter(F.col("attribute") == first).select(key, F.col("value").alias("value1"))
+    b = eav.filter(F.col("attribute") == second).select(key, F.col("value").alias("value2"))
+    return a.join(b, key).select("value1", "value2")
+
+
+def annotate(annotations: DataFrame, eav: DataFrame, key: str, attribute: str, invalid: bool | None = None) -> DataFrame:
+    """annotations: (id, workspace, key, invalid) with the values of an attribute; all, or those that are or aren't invalid."""
+    x = annotations if invalid is None else annotations.filter(F.col("invalid") == invalid)
+    return x.join(eav.filter(F.col("attribute") == attribute).select(key, "value"), key).select("workspace", "id", "value")
+
+
+def bridge_max(ordering: DataFrame, first: DataFrame, second: DataFrame, associations: DataFrame) -> DataFrame:
+    """ordering: (name, score); first: (name, concept); second: (concept, term); associations: (term, prot, overall).
+    Largest overall * score of each (name, prot) over all ways, none below 0.  A name's terms are told apart before the last join."""
+    terms = ordering.join(first.distinct(), "name").join(second.distinct(), "concept").groupBy("name", "term").agg(F.max("score").alias("score"))
+    return terms.join(associations, "term").groupBy("name", "prot").agg(F.greatest(F.lit(0.0), F.max(F.col("overall") * F.col("score"))).alias("score"))
+
+
+def stack_matrices(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """(row, feature, value) of both, with one numbering of features from 0: base's by name, then what extra adds.
+    Features are numbered in one task."""
+    both = base.select("row", "feature", "value", F.lit(0).alias("_src")).unionByName(extra.select("row", "feature", "value", F.lit(1).alias("_src")))
+    features = both.groupBy("feature").agg(F.min("_src").alias("_src"))
+    numbers = features.select("feature", (F.row_number().over(Window.orderBy("_src", "feature")) - 1).cast("long").alias("column"))
+    return both.join(numbers, "feature").select("row", "column", "value")
+
+
+def flag_groups(df: DataFrame, flags: list[Column]) -> DataFrame:
+    """Rows by their combination of up to 63 flags, as a number whose bit i is flag i; null is not set."""
+    if len(flags) > 63:
+        raise ValueError("more than 63 flags")
+    bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags)]
+    return df.groupBy(sum(bits[1:], bits[0]).alias("flags")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical_sets(nodes: DataFrame, members: DataFrame, siblings_only: bool = False) -> DataFrame:
+    """nodes: (id, parent, place), members: (id, item).  The id of the first node by place with the same items, among
+    all or a parent's children; nodes without items are alike.  Items of an id are gathered by the hash of each, summed."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "item").cast("decimal(38,0)"))
+    sets = members.distinct().groupBy("id").agg(F.struct(F.count(F.lit(1)), h(1), h(2)).alias("_set"))
+    x = nodes.join(sets, "id", "left")
+    own = Window.partitionBy("_set", *(["parent"] if siblings_only else []))
+    return x.select("id", F.min(F.struct("place", "id")).over(own)["id"].alias("canonical"))

@@ -85,3 +85,9 @@ class VersionedName:
         if not found:
             raise LookupError(f"no version with {fields}")
         return max(found, key=lambda v: v.version)
+
+
+def matching_paths(spark: SparkSession, folder: str, pattern: str = "*", *, deep: bool = False) -> DataFrame:
+    """(path, length, modified) of the files of a folder whose names match a glob; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(folder)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tarnsift.plans import slate
+from tarnsift.plans import rules, slate  # noqa: F401  (rules adds its queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
