@@ -3,8 +3,9 @@
 Every row gets a 120-bit key (60 bits from its group, here the text, then 60 bits from the row), so
 equal texts lie together.  Bytes and rows below candidate boundaries are counted exactly over all
 partitions; only the cells that hold a splitter are probed again, finer, until each splitter is
-within tolerance or the key has no more bits.  Then rows are exchanged once, by cell.  Cells hold at
-most about rows / cells rows each, however the bytes lie, so no task gets a whole shard.
+within tolerance or the key has no more bits.  Then rows are exchanged once, by cell.  There are cells
+for each 250,000 rows, 4 a shard at least and 8,192 at most, of about equal rows however the bytes lie,
+so no task gets a whole shard; beyond 2 * 10 ** 9 rows cells grow and are sorted with spilling.
 
 Defined cases: null text counts no bytes and forms one group with other null and empty texts; a row
 larger than a shard's share stays whole; rows of equal text stay together unless a splitter must
@@ -28,6 +29,8 @@ DIGITS = (12, 6, 6, 6, 6, 6, 6, 6, 6)
 HALF = sum(DIGITS)
 TOLERANCE = 0.001
 ROW_BYTES = 16
+#: Rows that a cell is meant to hold, and the most cells: each open cell sends 64 counts a round to the driver.
+CELL_ROWS, MOST_CELLS = 250_000, 8192
 
 
 @dataclass(frozen=True)
@@ -148,11 +151,11 @@ def cell_of(splitters: list[Splitter]):
 
 def shard_rows(keyed: DataFrame, *, shards: int = SHARDS, cells: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """keyed: materialised, with the columns of with_keys().  Adds shard and slot (gapless from 0 in
-    each shard) after one exchange."""
-    spark = keyed.sparkSession
+    each shard) after one exchange.  Columns of these names, and _cell, _at, _offset and _row, are replaced."""
+    spark, keyed = keyed.sparkSession, keyed.drop("shard", "slot", "_cell", "_at", "_offset", "_row")
     total = keyed.agg(F.sum("shard_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     n_bytes, n_rows = total.bytes or 0, total.rows
-    cells = cells or 4 * shards
+    cells = cells or max(4 * shards, min(-(-n_rows // CELL_ROWS), MOST_CELLS))
     wanted = [("bytes", n_bytes * i / shards) for i in range(1, shards)]
     wanted += [("rows", n_rows * i / cells) for i in range(1, cells)]
     slack = {"bytes": tolerance * n_bytes / shards, "rows": 0.25 * n_rows / cells}
@@ -160,6 +163,7 @@ def shard_rows(keyed: DataFrame, *, shards: int = SHARDS, cells: int | None = No
     by_bytes = sorted((s.high, s.low) for s in found[: shards - 1])
     every = sorted({(s.high, s.low) for s in found})
     numbered = keyed.withColumn("_cell", cell_of([Splitter(*s) for s in every])("shard_high", "shard_low"))
+    dealt = numbered.repartition(cells, "_cell") if cells > 4 * shards else numbered
     counts = {r["_cell"]: r["n"] for r in numbered.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, offset, before = [], 0, -1
     for cell in range(len(every) + 1):
@@ -170,7 +174,7 @@ def shard_rows(keyed: DataFrame, *, shards: int = SHARDS, cells: int | None = No
     side = spark.createDataFrame(rows, "_at int, shard int, _offset long")  # at most shards + cells rows
     order = Window.partitionBy("_cell").orderBy("shard_high", "shard_low")
     return (
-        numbered.withColumn("_row", F.row_number().over(order) - 1)
+        dealt.withColumn("_row", F.row_number().over(order) - 1)
         .join(F.broadcast(side), F.col("_cell") == F.col("_at"))
         .withColumn("slot", (F.col("_offset") + F.col("_row")).cast("long"))
         .drop("_cell", "_at", "_offset", "_row")

@@ -163,6 +163,24 @@ def test_sharding(spark, docs, no_docs):
     assert sharding.shard_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [sharding.CELL_ROWS, 3])
+def test_shards_against_a_sort(spark, docs, monkeypatch, cell_rows):
+    """Whole texts, with clashing columns: shards are runs of the sorted keys, cut where the bytes are nearest equal."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", cell_rows)
+    clashing = docs.withColumns({n: F.lit(7) for n in ("slot", "_cell", "_at", "_offset", "_row")})
+    out = sharding.shard_rows(materialize(sharding.with_keys(clashing), "test"), shards=5)
+    assert sorted(out.columns) == sorted({*docs.columns, "slot", "shard_high", "shard_low", "shard_bytes"})
+    rows = sorted(out.collect(), key=lambda r: (r.shard_high, r.shard_low))
+    size = [len((r.text or "").encode()) + sharding.ROW_BYTES for r in rows]
+    assert len(rows) == docs.count() and [r.shard_bytes for r in rows] == size
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    assert [(r.shard, r.slot) for r in rows] == [(r.shard, sum(x.shard == r.shard for x in rows[:i])) for i, r in enumerate(rows)]
+    ends = [0, *np.cumsum(size).tolist()]
+    for i in range(1, 5):
+        target, cut = ends[-1] * i / 5, ends[sum(r.shard < i for r in rows)]
+        assert abs(cut - target) <= min(abs(e - target) for e in ends) + sharding.TOLERANCE * ends[-1] / 5
+
+
 def test_equal_texts_lie_together(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 1000).alias("text"))
     out = sharding.shard_rows(materialize(sharding.with_keys(df), "test"), shards=8)
