@@ -54,7 +54,15 @@ def stratum_weights(df: DataFrame, stratum: str, case: Column) -> DataFrame:
 def subtotals(df: DataFrame, group: str, fold: str) -> DataFrame:
     """Counts by group and fold, and by group ("sum")."""
     return df.rollup(group, fold).agg(F.count(F.lit(1)).alias("n"), F.grouping(group).alias("_g"), F.grouping(fold).alias("_f")).filter(
-        "_g = 0").select(group, F.when(F.col("_f") == 1, "sum").otherwise(F.col(fold)).alias(fold), "n")
+        "_g = 0").select(group, F.when(F.col("_f") == 1, "sum").otherwise(F.col(fold).cast("string")).alias(fold), "n")
+
+
+def passing_fractions(df: DataFrame, group: str, fold: str, passed: Column, labels: list[str]) -> DataFrame:
+    """Of each label the share of passed rows in its subtotal; 0 where it has none."""
+    n = lambda c: subtotals(df.filter(c), group, fold).filter(F.col(fold) == "sum").select(group, "n")
+    every = df.sparkSession.createDataFrame([(x,) for x in labels], f"{group} string")
+    x = every.join(n(passed).withColumnRenamed("n", "_p"), group, "left").join(n(~passed).withColumnRenamed("n", "_f"), group, "left").fillna(0, ["_p", "_f"])
+    return x.select(group, F.round(F.coalesce(F.col("_p") / F.nullif(F.col("_p") + F.col("_f"), F.lit(0)), F.lit(0.0)), 6).alias("fraction"))
 
 
 def entropy(df: DataFrame, col: str) -> DataFrame:

@@ -105,13 +105,19 @@ def selectivity(df: DataFrame, edges: DataFrame, least: float = 0.9) -> DataFram
         "drug", F.round("direct", 6).alias("direct"), F.round(F.coalesce("indirect", F.lit(0.0)), 6).alias("indirect"))
 
 
+#: Bindings of a base that are broadcast.
+BASE_ROWS = 100_000
+
+
 def combo_add(drugs: DataFrame, base: DataFrame) -> DataFrame:
     """Each drug with the base's bindings: the greater evidence, direction 0 where the two disagree.
 
-    base is one drug's bindings; the keys of drugs x base are made by a join on the drugs that exist,
-    then one aggregate."""
-    keys = drugs.select("drug").distinct().withColumn("_one", F.lit(1))
-    added = keys.join(base.withColumn("_one", F.lit(1)).select("_one", "prot", "evidence", "direction"), "_one").drop("_one")
+    base is one drug's bindings, and the result holds it once a drug.  Up to BASE_ROWS it is broadcast; a larger one
+    goes in blocks, each of which meets all drugs.  Then one aggregate."""
+    blocks = -(-base.count() // BASE_ROWS) or 1
+    keys = drugs.select("drug").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = base.select(F.pmod(F.xxhash64("prot"), F.lit(blocks)).cast("int").alias("_block"), "prot", "evidence", "direction")
+    added = keys.join(F.broadcast(own) if blocks == 1 else own, "_block").drop("_block")
     both = drugs.select(*PAIR, "evidence", "direction").unionByName(added)
     return both.groupBy(*PAIR).agg(
         F.max("evidence").alias("evidence"),

@@ -52,6 +52,11 @@ def calibrate(df: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
     return df.select("key", F.round(1 - p.otherwise(raw[-1][1]), 6).alias("calibrated"))
 
 
+def category(x, low: float, high: float):
+    """Low up to low, Med up to high, else High; null for null."""
+    return F.when(x <= low, "Low").when(x <= high, "Med").when(x.isNotNull(), "High")
+
+
 def lerp(x, low: float, high: float, low_score: float, high_score: float):
     """Linear between two ends, clipped; missing gives the low score."""
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low)))

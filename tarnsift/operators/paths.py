@@ -21,7 +21,7 @@ def path_scores(tissues: DataFrame, interactions: DataFrame, edges: DataFrame |
             "tissue", F.col("prot2").alias("prot"), "t_dir").agg(F.max(F.col("t_ev") * F.col("e_ev")).alias("t_ev"))
     best = left.join(interactions, "prot").groupBy("drug", "tissue").agg(
         F.max(F.col("t_ev") * F.col("evidence")).alias("best"), F.sum(-F.col("t_dir") * F.col("direction")).alias("dirs"))
-    return best.groupBy("drug").agg(F.round(F.sum("best"), 6).alias("score"), F.sum("dirs").cast("long").alias("direction"))
+    return best.groupBy("drug").agg(F.round(F.sum("best"), 9).alias("score"), F.sum("dirs").cast("long").alias("direction"))
 
 
 def hierarchy_max(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:

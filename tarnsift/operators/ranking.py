@@ -91,9 +91,19 @@ def page(df: DataFrame, start: int, size: int) -> DataFrame:
 
 
 def average_percentile(orderings: DataFrame) -> DataFrame:
-    """orderings: (job, key, score): mean over all jobs of 1 - (rank - 1) / last rank, absent 0."""
+    """orderings: (job, key, score): mean and median over all jobs of 1 - (rank - 1) / last rank, absent 0.  Jobs are
+    few: a key's values are one array."""
     own = Window.partitionBy("job").orderBy(F.col("score").desc())
     ranks = orderings.withColumn("r", F.rank().over(own)).withColumn("m", F.max("r").over(Window.partitionBy("job")))
     jobs = orderings.agg(F.count_distinct("job").alias("jobs"))
-    return ranks.groupBy("key").agg(F.sum(1 - (F.col("r") - 1) / F.col("m")).alias("s")).crossJoin(F.broadcast(jobs)).select(
-        "key", F.round(F.col("s") / F.col("jobs"), 6).alias("apr"))
+    value = 1 - (F.col("r") - 1) / F.col("m")
+    keys = ranks.groupBy("key").agg(F.sum(value).alias("s"), F.collect_list(value).alias("v")).crossJoin(F.broadcast(jobs))
+    every = F.sort_array(F.concat("v", F.array_repeat(F.lit(0.0), (F.col("jobs") - F.size("v")).cast("int"))))
+    middle = [F.element_at(every, (F.floor((F.col("jobs") + i) / 2)).cast("int")) for i in (1, 2)]
+    return keys.select("key", F.round(F.col("s") / F.col("jobs"), 6).alias("apr"), F.round((middle[0] + middle[1]) / 2, 6).alias("median"))
+
+
+def label_ranks(df: DataFrame, center: float = 200, width: float = 100) -> DataFrame:
+    """Over labelled keys the mean rank and the mean of sigma((center - rank) / (width / 2)); null without any."""
+    r = ranked(df).filter("is_kt")
+    return r.agg(F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg(1 / (1 + F.exp(-(center - F.col("rank")) / (width / 2)))), 6).alias("mean_sigma"))

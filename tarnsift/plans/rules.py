@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarnsift.operators import graph, metrics, normalize, paths
+from tarnsift.operators import contingency as con
+from tarnsift.operators import graph, metrics, normalize, paths, ranking
 from tarnsift.operators import relation as rel
 from tarnsift.operators import screening as scr
 from tarnsift.plans.slate import RANKED, query
@@ -289,3 +290,26 @@ def _(t):
   r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM x) SELECT round(1 - round(corr(rx, ry), 6), 6) AS bg_distance FROM r""")
 def _(t):
     return paths.background_distance(t.scores(), t.scores2().filter("key % 3 > 0"))
+
+
+@query("label_ranks", RANKED + """, k AS (SELECT 1 + ahead + tied // 2 AS p FROM r JOIN scores s ON r.key = s.key WHERE is_kt)
+  SELECT round(avg(p), 6) AS mean_rank, round(avg(1 / (1 + exp(-(200 - p) / 50.0::DOUBLE))), 6) AS mean_sigma FROM k""")
+def _(t):
+    return ranking.label_ranks(t.scores())
+
+
+@query("rank_delta_norm", """, a AS (SELECT key, rank() OVER (ORDER BY score DESC) + count(*) OVER (PARTITION BY score) // 2 AS r FROM scores), b AS (SELECT key, rank() OVER (ORDER BY score DESC) + count(*) OVER (PARTITION BY score) // 2 AS r FROM scores2 WHERE key % 5 <> 0),
+  d AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.r, (SELECT count(*) + 1 FROM a)) - coalesce(b.r, (SELECT count(*) + 1 FROM b)) AS d FROM a FULL JOIN b ON a.key = b.key)
+  SELECT key, round((d - (SELECT avg(d) FROM d)) / (SELECT stddev_pop(d) FROM d), 6) AS norm FROM d""")
+def _(t):
+    return normalize.z_norm(ranking.rank_delta(t.scores().select("key", "score"), t.scores2().filter("key % 5 <> 0")).select("key", F.col("delta").cast("double").alias("score")))
+
+
+@query("score_categories", "SELECT key, CASE WHEN score <= 500 THEN 'Low' WHEN score <= 800 THEN 'Med' ELSE 'High' END AS category FROM scores")
+def _(t):
+    return t.scores().select("key", normalize.category(F.col("score"), 500, 800).alias("category"))
+
+
+@query("passing_fractions", "SELECT p AS o_orderpriority, round(coalesce(avg(CAST(o_orderstatus = 'F' AS DOUBLE)), 0), 6) AS fraction FROM (SELECT unnest(['1-URGENT', '2-HIGH', 'none']) AS p) LEFT JOIN orders ON p = o_orderpriority GROUP BY 1")
+def _(t):
+    return con.passing_fractions(t.orders.withColumn("fold", F.col("o_totalprice") > 1000), "o_orderpriority", "fold", F.col("o_orderstatus") == "F", ["1-URGENT", "2-HIGH", "none"])

@@ -46,11 +46,13 @@ class Tables:
         return self.lineitem.groupBy(F.col("l_partkey").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("score"))
 
     def edges(self) -> DataFrame:
-        """Suppliers of a nation whose balances differ by under 1,000."""
-        s = self.supplier
-        a, b = s.alias("a"), s.alias("b")
+        """Suppliers of a nation whose balances differ by under 1,000: those of the same or the next band of 1,000."""
+        band = F.floor(F.col("s_acctbal") / 1000)
+        a = self.supplier.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("a")
+        b = self.supplier.withColumn("band", band).alias("b")
         near = F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal"))
-        return a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") != F.col("b.s_suppkey")) & (near < 1000)).select(
+        meet = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.band") == F.col("b.band"))
+        return a.join(b, meet & (F.col("a.s_suppkey") != F.col("b.s_suppkey")) & (near < 1000)).select(
             F.col("a.s_suppkey").alias("prot1"), F.col("b.s_suppkey").alias("prot2"), F.round(1 - near / 10000, 4).alias("evidence"))
 
     def measures(self) -> DataFrame:
@@ -357,7 +359,8 @@ def _(t):
 
 
 @query("average_percentile_rank", """, o AS (SELECT 1 AS job, key, score FROM scores UNION ALL SELECT 2, key, score FROM scores2 WHERE key % 2 = 0), r AS (SELECT job, key, rank() OVER (PARTITION BY job ORDER BY score DESC) AS r FROM o),
-  m AS (SELECT *, max(r) OVER (PARTITION BY job) AS m FROM r) SELECT key, round(sum(1 - (r - 1) / m) / 2, 6) AS apr FROM m GROUP BY 1""")
+  m AS (SELECT *, max(r) OVER (PARTITION BY job) AS m FROM r), g AS (SELECT key, j AS job FROM (SELECT DISTINCT key FROM o), (SELECT unnest([1, 2]) AS j)),
+  v AS (SELECT g.key, coalesce(1 - (r - 1)::DOUBLE / m, 0) AS v FROM g LEFT JOIN m ON g.key = m.key AND g.job = m.job) SELECT key, round(avg(v), 6) AS apr, round(median(v), 6) AS median FROM v GROUP BY 1""")
 def _(t):
     o = t.scores().select(F.lit(1).alias("job"), "key", "score").unionByName(t.scores2().filter("key % 2 = 0").select(F.lit(2).alias("job"), "key", "score"))
     return ranking.average_percentile(o)
@@ -604,14 +607,14 @@ def _tissues(t):
 
 
 @query("path_direct", TISSUES + """, b AS (SELECT drug, tissue, max(t_ev * evidence) AS best, sum(-t_dir * direction) AS dirs FROM tis JOIN cons ON tis.prot = cons.prot GROUP BY 1, 2)
-  SELECT drug, round(sum(best), 6) AS score, CAST(sum(dirs) AS BIGINT) AS direction FROM b GROUP BY 1""")
+  SELECT drug, round(sum(best), 9) AS score, CAST(sum(dirs) AS BIGINT) AS direction FROM b GROUP BY 1""")
 def _(t):
     return paths.path_scores(_tissues(t), inter.consensus(t.dpi()))
 
 
 @query("path_indirect", TISSUES + """, i AS (SELECT tissue, prot2 AS prot, t_dir, max(t_ev * edges.evidence) AS t_ev FROM tis JOIN edges ON prot = prot1 GROUP BY 1, 2, 3),
   b AS (SELECT drug, tissue, max(t_ev * evidence) AS best, sum(-t_dir * direction) AS dirs FROM i JOIN cons ON i.prot = cons.prot GROUP BY 1, 2)
-  SELECT drug, round(sum(best), 6) AS score, CAST(sum(dirs) AS BIGINT) AS direction FROM b GROUP BY 1""")
+  SELECT drug, round(sum(best), 9) AS score, CAST(sum(dirs) AS BIGINT) AS direction FROM b GROUP BY 1""")
 def _(t):
     return paths.path_scores(_tissues(t), inter.consensus(t.dpi()), t.edges())
 
