@@ -127,18 +127,24 @@ def running_es(df: DataFrame) -> DataFrame:
     return e.select(F.round(F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")), 6).alias("es"))
 
 
-_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+def _series(x: np.ndarray) -> np.ndarray:
+    """Log factorials by Stirling's series, to double precision from 256 on."""
+    return x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+#: Log factorials of 0 to 65,535: sums of logs below 256, then the series.
+_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256))), _series(np.arange(256, 65_536, dtype=float))])
 
 
 def log_factorial(n: np.ndarray) -> np.ndarray:
-    """Sums of logs below 256, from there Stirling's series."""
-    x = np.maximum(np.asarray(n, float), 1.0)
-    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
-    return np.where(np.asarray(n) < len(_SMALL), _SMALL[np.clip(n, 0, len(_SMALL) - 1).astype(int)], series)
+    n = np.asarray(n, np.int64)
+    if n.size and n.max() < len(_SMALL):
+        return _SMALL[n]
+    return np.where(n < len(_SMALL), _SMALL[np.minimum(n, len(_SMALL) - 1)], _series(np.maximum(n, 256).astype(float)))
 
 
-#: Terms of a Fisher p that are summed at once.
-TERMS = 65_536
+#: Terms of a Fisher p that are summed at once: first, and at most.
+TERMS, MOST_TERMS = 64, 65_536
 
 
 def fisher_greater(a: np.ndarray, row: np.ndarray, col: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -148,11 +154,12 @@ def fisher_greater(a: np.ndarray, row: np.ndarray, col: np.ndarray, total: np.nd
     out = np.zeros(len(a))
     for i, (first, r, c, n) in enumerate(zip(a.tolist(), row.tolist(), col.tolist(), total.tolist())):
         first, end, top = max(first, r + c - n, 0), min(r, c) + 1, (r + 1) * (c + 1) // (n + 2)
+        step = TERMS
         while first < end:
-            x = np.arange(first, min(first + TERMS, end))
+            x = np.arange(first, min(first + step, end))
             part = np.exp(base[i] - log_factorial(x) - log_factorial(r - x) - log_factorial(c - x) - log_factorial(n - r - c + x))
             out[i] += part.sum()
-            first += TERMS
+            first, step = first + step, min(2 * step, MOST_TERMS)
             if first > top and part[-1] * (end - first) < out[i] * 1e-17:
                 break
     return np.minimum(out, 1.0)
