@@ -12,7 +12,9 @@ up and returns a sum for each document.  No vocabulary goes to the driver or to
 shard can't know is the probability of a word by itself: all training words are counted in shards by
 word, and each of those sends every shard of contexts the exact counts of the words that follow there.
 One unknown word has the count 1.
-The most frequent contexts are split over shards by successor, with their exact counts known.
+The most frequent contexts are split over shards by successor.  Their exact counts are known, and their
+distinct successors are counted in shards by successor, so a split context has the probabilities that it
+would have whole: which contexts are split, and over how many shards, changes no score.
 
 Defined cases: null and empty texts are one end token; a null id is the text "" to the fold, and
 trains; rows that repeat an id are documents of their own; with no training rows all counts are 0; an empty table gives an empty result; other columns are not read.
@@ -38,9 +40,13 @@ _U = np.uint64
 KEY_BITS, NEXT_BITS = 56, 40
 #: A context with more than 1 / (SPLIT * bins) of all tokens is split into so many parts.
 SPLIT, PARTS = 4, 16
-DISCOUNT, FREQUENT_BACKOFF, SINGLE = 0.8, 0.05, 0.6
+DISCOUNT, SINGLE = 0.8, 0.6
 #: Codes of probabilities: steps of log10.
 STEP = 1 / 2000
+#: Parts of a unit of log10 in which scores are summed, as whole numbers: no grouping changes a sum.
+FINE = 1 << 20
+#: Pairs of frequent contexts and successors that a task gathers before it hands them on.
+MOST_PAIRS = 1 << 21
 MOST_DOCS = 60_000
 #: Pairs of words and shards are marked in a table of up to so many cells, else sorted.
 MOST_CELLS = 1 << 26
@@ -127,12 +133,17 @@ def decode(c: np.ndarray) -> np.ndarray:
     return 10.0 ** (-STEP * c.astype(np.float64))
 
 
+def backoff(kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What of a word's probability by itself stays after contexts of so many distinct successors and tokens."""
+    return SINGLE + (1 - SINGLE) * DISCOUNT * kinds / np.maximum(total, 1)
+
+
 class Trie:
     """Both levels in one memory-mapped file, which goes with the object."""
 
     def __init__(self, keys, nexts, counts, parts_counts):
-        """Sorted distinct (keys, nexts) with training counts > 0; parts_counts: (sorted keys of
-        contexts that other shards hold parts of, their whole counts)."""
+        """Sorted distinct (keys, nexts) with training counts > 0; parts_counts: (sorted keys of contexts
+        that other shards hold parts of, their whole counts, their numbers of distinct successors)."""
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         words, rank = keys[first], np.cumsum(new) - 1
@@ -142,15 +153,14 @@ class Trie:
         at[at == len(parts_counts[0])] = 0
         split = (parts_counts[0][at] == words) if len(parts_counts[0]) else np.zeros(len(words), bool)
         if split.any():
-            total = np.where(split, parts_counts[1][at], total)
-        backoff = SINGLE + (1 - SINGLE) * np.where(split, FREQUENT_BACKOFF, DISCOUNT * kinds / np.maximum(total, 1))
-        p = (1 - SINGLE) * np.where(split[rank], (1 - FREQUENT_BACKOFF) * counts, counts - DISCOUNT) / total[rank] if len(keys) else np.zeros(0)
+            total, kinds = np.where(split, parts_counts[1][at], total), np.where(split, parts_counts[2][at], kinds)
+        p = (1 - SINGLE) * (counts - DISCOUNT) / total[rank] if len(keys) else np.zeros(0)
         self.first = EliasFano.encode(words, KEY_BITS)
         # successors of context i lie from i << NEXT_BITS on
         self.bits = NEXT_BITS + max(1, len(words)).bit_length()
         self.second = EliasFano.encode((rank.astype(_U) << _U(NEXT_BITS)) | nexts, self.bits)
         arrays = {f"{k}{i}": v for i, level in enumerate((self.first, self.second)) for k, v in level.parts.items()}
-        arrays |= {"total": total.astype(np.uint32) if total.max(initial=0) < 1 << 32 else total, "backoff": code(backoff), "p": code(p)}
+        arrays |= {"total": total.astype(np.uint32) if total.max(initial=0) < 1 << 32 else total, "backoff": code(backoff(kinds, total)), "p": code(p)}
         handle, self.path = tempfile.mkstemp(prefix="trie")
         with os.fdopen(handle, "wb") as f:
             place = {}
@@ -218,7 +228,7 @@ def _train_counts(b: Block, train: np.ndarray) -> np.ndarray:
 # --- counts of words -------------------------------------------------------------------------
 
 
-_ROWS, _BIGRAMS, _SUMS, _SIZES, _TOTALS, _NEEDS, _COUNTS = range(7)
+_ROWS, _BIGRAMS, _SUMS, _SIZES, _TOTALS, _NEEDS, _COUNTS, _PAIRS, _KINDS = range(9)
 
 
 class Outline:
@@ -305,15 +315,30 @@ def outline(totals: DataFrame, bins: int) -> Outline:
 
 
 def _needs(o: Outline, bins: int):
-    """Blocks tell the shards of words which shards of contexts each of their words follows in."""
+    """Blocks tell the shards of words which shards of contexts each of their words follows in, and the
+    shards of successors which frequent contexts they follow in training texts."""
     frequent = _frequent_contexts(o)[0]
 
+    def share(held):
+        pairs = np.unique(np.concatenate(held))
+        by, edge = _dealt(pairs & _MASK_NEXT, bins)
+        return sent([(i, -1, _PAIRS, pack(pairs[by[edge[i]:edge[i + 1]]])) for i in range(bins) if edge[i] < edge[i + 1]])
+
     def run(batches):
+        held, n_held = [], 0
         for batch in batches:
-            for _, b in _blocks(batch.column(1)):
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            for first, b in _blocks(batch.column(1)):
+                words, size, tokens, context = _sequence(b)
+                place = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+                own = (frequent[place] == words)[context] & np.repeat(train[first:first + b.n], size)
+                held.append(np.unique((place[context[own]].astype(_U) << _U(NEXT_BITS)) | next_key(words)[tokens[own]]))
+                n_held += len(held[-1])
+                if n_held > MOST_PAIRS:
+                    yield share(held)
+                    held, n_held = [], 0
                 if not len(b.words):
                     continue
-                words, _, tokens, context = _sequence(b)
                 inner = tokens < len(b.words)
                 tokens, context = tokens[inner], context[inner]
                 cells = tokens * bins + _bins_of(words[context], next_key(b.words)[tokens], frequent, bins)
@@ -335,15 +360,24 @@ def _needs(o: Outline, bins: int):
                         out.append((i, -1, _NEEDS, pack(
                             b.words[own], n.astype(np.uint32), to[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.uint32))))
                 yield sent(out)
+        if held:
+            yield share(held)
 
     return run
 
 
-def _deliver(bins: int):
-    """Shards of words send each shard of contexts the counts of the words that follow in it, once each."""
+def _deliver(o: Outline, bins: int):
+    """Shards of words send each shard of contexts the counts of the words that follow in it, once each, and
+    their share of the numbers of distinct successors of the frequent contexts."""
+    n_frequent = len(_frequent_contexts(o)[0])
 
     def run(batches):
         for i, rows in _held(batches).items():
+            pairs = [unpack(body, "u8")[0] for kind, body in rows if kind == _PAIRS]
+            if pairs:
+                follow = np.unique(np.concatenate(pairs)) >> _U(NEXT_BITS)
+                body = pack(np.bincount(follow.astype(np.int64), minlength=n_frequent))
+                yield sent([(to, -1, _KINDS, body) for to in range(bins)])
             keys, counts = next((unpack(body, "u8", "i8") for kind, body in rows if kind == _TOTALS), (np.zeros(0, _U), np.zeros(0, np.int64)))
             needs = [unpack(body, "u8", "u4", "u4") for kind, body in rows if kind == _NEEDS]
             if not needs or not len(keys):
@@ -439,9 +473,11 @@ def _send(o: Outline, bins: int):
 
 
 def _answer(o: Outline):
-    parts_counts = _frequent_contexts(o)
+    frequent = _frequent_contexts(o)
 
-    def one_bin(i: int, held: list, got: list) -> Iterator[pa.RecordBatch]:
+    def one_bin(i: int, held: list, got: list, kinds: list) -> Iterator[pa.RecordBatch]:
+        parts_counts = *frequent, np.sum([np.zeros(len(frequent[0]), np.int64), *(unpack(body, "i8")[0] for body in kinds)], axis=0)
+        stay = decode(code(backoff(parts_counts[2], parts_counts[1])))
         got = [unpack(body, "u8", "i8") for body in got]
         known, counts = _summed(*(np.concatenate(x) for x in zip(*got))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
         # END is less than every word's key
@@ -469,11 +505,11 @@ def _answer(o: Outline):
                 split = parts_counts[0][at] == k
                 unseen = split & (c == 0) & (parts_counts[1][at] > 0)
                 c = np.where(split, parts_counts[1][at], c)
-                logs = np.where(unseen, np.log10((SINGLE + (1 - SINGLE) * FREQUENT_BACKOFF) * p), logs)
+                logs = np.where(unseen, np.log10(np.maximum(stay[at] * p, 1e-300)), logs)
                 word = k != BEGIN
                 base = np.where(word, np.log10(c + 0.5), 0.0)[pair]
                 yield sent([(i, block, _SUMS, pack(
-                    np.bincount(docs, weights=base, minlength=n_docs), np.bincount(docs, weights=logs[pair], minlength=n_docs).astype(np.float32),
+                    np.bincount(docs, weights=base, minlength=n_docs), np.bincount(docs, weights=np.rint(logs * FINE)[pair], minlength=n_docs).astype(np.int64),
                     np.bincount(docs, weights=(word & (c > 0))[pair], minlength=n_docs).astype(np.uint32)))])
         finally:
             trie.close()
@@ -481,16 +517,19 @@ def _answer(o: Outline):
     def run(batches):
         held: dict[int, list] = {}
         counts: dict[int, list] = {}
+        kinds: dict[int, list] = {}
         for batch in batches:
             for i, block, kind, body in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if kind == _ROWS:
                     yield sent([(i, block, kind, body)])
                 elif kind == _COUNTS:
                     counts.setdefault(i, []).append(body)
+                elif kind == _KINDS:
+                    kinds.setdefault(i, []).append(body)
                 else:
                     held.setdefault(i, []).append((block, body))
         for i in sorted(held):
-            yield from one_bin(i, held.pop(i), counts.pop(i, []))
+            yield from one_bin(i, held.pop(i), counts.pop(i, []), kinds.pop(i, []))
 
     return run
 
@@ -506,15 +545,15 @@ def _finish(tokens: int, kinds: int, docs: int):
                 if kind == _ROWS:
                     rows[block] = unpack(body, "i8", "u1", "u1", "i8")
                 else:
-                    got = unpack(body, "f8", "f4", "u4")
-                    now = sums.setdefault(block, [np.zeros(len(got[0])), np.zeros(len(got[0])), np.zeros(len(got[0]), np.int64)])
+                    got = unpack(body, "f8", "i8", "u4")
+                    now = sums.setdefault(block, [np.zeros(len(got[0])), np.zeros(len(got[0]), np.int64), np.zeros(len(got[0]), np.int64)])
                     for a, b in zip(now, got):
                         a += b
         for block, (ids, null, held, n) in rows.items():
             base, score, known = sums[block]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n), pa.array(known + (docs > 0)),
-                pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base + np.log10(docs + 0.5) - n * log_all), pa.array(score),
+                pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base + np.log10(docs + 0.5) - n * log_all), pa.array(score / FINE),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -526,7 +565,7 @@ def score_texts(docs: DataFrame, bins: int | None = None) -> DataFrame:
     bins = bins or bins_for(docs)
     totals = word_totals(docs, bins)
     o = outline(totals, bins)
-    counts = docs.mapInArrow(_needs(o, bins), SENT).union(totals).repartition(bins, "bin").mapInArrow(_deliver(bins), SENT)
+    counts = docs.mapInArrow(_needs(o, bins), SENT).union(totals).repartition(bins, "bin").mapInArrow(_deliver(o, bins), SENT)
     sent = docs.mapInArrow(_send(o, bins), SENT).union(counts).repartition(bins, "bin")
     answered = materialize(sent.mapInArrow(_answer(o), SENT), "model-answers")
     return answered.repartition(bins, "block").mapInArrow(

@@ -278,6 +278,15 @@ def test_scores(docs, rows, split, monkeypatch):
     assert all(got[i].score > got[i].base_score for i in near)
 
 
+def test_scores_do_not_depend_on_shards(docs, monkeypatch):
+    got = []
+    for split, bins in ((0.01, 3), (4, 4), (1, 37), (200, 2)):  # from no frequent word to many
+        monkeypatch.setattr(language_model, "SPLIT", split)
+        rows = language_model.score_texts(docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 5 != 1).alias("train")), bins).collect()
+        got.append(sorted((r.doc_id, r.score, r.n_known) for r in rows))
+    assert got[0] == got[1] == got[2] == got[3]
+
+
 def test_scores_of_little(spark, no_docs):
     assert scored(no_docs).count() == 0
     one = spark.createDataFrame([(None, None), (4, "a b")], "doc_id long, text string")
