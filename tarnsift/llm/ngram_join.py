@@ -358,7 +358,8 @@ def in_cells(met: DataFrame, classes: DataFrame) -> DataFrame:
 def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> DataFrame:
     """(a, b): links that connect what links connect, cell by cell, large cells by pairs of chunks.
 
-    The sets are made again from one document of each class, and travel once for each other chunk."""
+    The sets are made again from one document of each class, and travel once, to their chunk; the chunks of
+    large cells are written, and each two of a cell are read together by a task."""
     few = cells.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
     side = cells.withColumnRenamed("id", "_id")
     joined = docs.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("_id")))
@@ -377,19 +378,47 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
 
     rows = joined.select("text", "set_id", "cell", "own", "chunks").mapInArrow(
         sets_of, "set_id long, cell long, own int, chunks int, shingles binary")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "set_id", "shingles")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("set_id").sort_values("set_id")
         ids = pdf.set_id.to_numpy()
-        found = links_within([np.frombuffer(x, _U) for x in pdf.shingles], pdf.side.to_numpy(), t)
+        found = links_within([np.frombuffer(x, _U) for x in pdf.shingles], np.full(len(ids), 2), t)
         give_back()
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+        out = pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+        out = out.assign(cell=pdf.cell.iloc[0], chunk=-1, ids=None, ends=None, shingles=None)
+        if pdf.chunks.iloc[0] > 1:
+            ends = np.cumsum(pdf.shingles.str.len().to_numpy(np.int64) // 8)
+            out.loc[len(out)] = [0, 0, pdf.cell.iloc[0], pdf.own.iloc[0], ids.tobytes(), ends.tobytes(), b"".join(pdf.shingles)]
+        return out
 
-    return rows.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long")
+    found = materialize(rows.groupBy("cell", "own").applyInPandas(
+        within, "a long, b long, cell long, chunk int, ids binary, ends binary, shingles binary"), "chunks")
+    links, chunks = found.filter("chunk < 0").select("a", "b"), found.filter("chunk >= 0").drop("a", "b")
+    links = materialize(links if chunks.isEmpty() else links.unionByName(links_across(chunks, t)), "links")
+    discard(found)
+    return links
+
+
+def links_across(chunks: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b): for each two chunks of a cell, links that connect what links between them connect.  chunks is a
+    written table; each task reads two of its parts, as an exchange would copy a chunk for each other one."""
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            for pair in zip(*(batch.column(c) for c in range(6))):
+                body = [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(pair, ("i8", "i8", "u8") * 2)]
+                ids, sets, side = np.concatenate([body[0], body[3]]), [], np.repeat([0, 1], [len(body[0]), len(body[3])])
+                for ends, values in (body[1:3], body[4:6]):
+                    sets += np.split(values, ends[:-1])
+                got = np.array(links_within(sets, side, t), np.int64).reshape(-1, 2)
+                give_back()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])], names=["a", "b"])
+
+    x, y = (chunks.select([F.col(c).alias(f"{c}{k}") for c in chunks.columns]) for k in (1, 2))
+    # not by equality, which Spark would join by an exchange
+    both = x.join(y, (F.col("cell1").bitwiseXOR(F.col("cell2")) == 0) & (F.col("chunk1") < F.col("chunk2")))
+    return both.select("ids1", "ends1", "shingles1", "ids2", "ends2", "shingles2").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(
@@ -409,7 +438,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     met = materialize(meetings(packed_keys(narrow, size, threshold, bins, common), bins), "meetings")
     cells = in_cells(met, classes)
     discard(met)
-    roots = components(materialize(cell_links(narrow, cells, size, threshold), "links"))
+    roots = components(cell_links(narrow, cells, size, threshold))
     classes = classes.select("set_id", "first")
     named = roots.withColumnRenamed("node", "set_id").join(classes, "set_id")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("set_id", "component")

@@ -1,4 +1,6 @@
 import collections
+import time
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnsift.llm import decontaminate, language_model, ngram_join, repeats, toxicity
+from tarnsift.llm.common import DROP_SHUFFLES, materialize, shared_dir
 
 
 # --- 1: repeats ------------------------------------------------------------------------------
@@ -102,6 +105,59 @@ def test_one_of_each(spark, docs, no_docs):
     assert ngram_join.one_of_each(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("points", [4, 7])
+def test_ngram_join_of_large_cells(spark, docs, rows, monkeypatch, points):
+    monkeypatch.setattr(ngram_join, "BLOCK_POINTS", points)  # the family of near copies has several chunks
+    across, made = ngram_join.links_across, []
+    monkeypatch.setattr(ngram_join, "links_across", lambda *a: made.append(across(*a)) or made[-1])
+    got = {r.id: (r.n_shingles, r.component) for r in ngram_join.jaccard_components(docs, size=2, threshold=ngram_join.Threshold(60, 100)).collect()}
+    assert got == brute.components([(r[0], r[1]) for r in rows], 2, 60, 100)
+    assert made
+
+
+def shuffled(spark):
+    """Records that all stages so far wrote for exchanges."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_sets_of_large_cells_travel_once(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], f"x{g.integers(1 << 40)}", *base[k:]]) for k in range(100, 160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = ngram_join.set_table(docs, 4).select("id", "set_id").collect()
+    cells = spark.createDataFrame([(r.id, r.set_id, 1, i % 12, 12) for i, r in enumerate(sets)], "id long, set_id long, cell long, own int, chunks int")
+    before = shuffled(spark)
+    links = ngram_join.cell_links(docs, cells, 4, ngram_join.Threshold(85, 100))
+    links = [tuple(r) for r in links.collect()]
+    assert shuffled(spark) - before <= 2 * len(texts)  # 720 where a set travels for each chunk
+    forest = ngram_join.Forest(len(sets))
+    at = {r.set_id: i for i, r in enumerate(sets)}
+    for a, b in links:
+        forest.join(at[a], at[b])
+    assert len({forest.root(i) for i in range(len(sets))}) == 1
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in folders for f in Path(top).rglob("shuffle_*.data")}
+    df = spark.range(5000).repartition(3, "id")
+    before = files()
+    df.write.mode("overwrite").parquet(f"{shared_dir(spark)}/plain")
+    plain = files() - before
+    assert plain  # they stay until the driver collects its garbage
+    assert len(materialize(df, "shuffled").collect()) == 5000
+    for _ in range(50):
+        if not (left := files() - before - plain):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+
+
 # --- 3: decontamination ----------------------------------------------------------------------
 
 ITEM = "the farmer Tom Baker sold 12 apples and then Tom Baker bought 30 kg of pears from the market before noon"
