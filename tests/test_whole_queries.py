@@ -50,6 +50,21 @@ def test_path_combo_add(spark, small):
     assert sorted(map(tuple, got)) == want and any(d > 200 for d, *_ in want)
 
 
+def expanded(rows, sets):
+    """All pairs of sets, from pairs of classes and the sets of each class."""
+    of = {s: [s] for s in sets}
+    for r in rows:
+        if r.same:
+            assert r.jaccard == 1 and r.set1 < r.set2 and of.pop(r.set2) == [r.set2]
+            of[r.set1].append(r.set2)
+    pairs = [(a, b, 1.0) for c in of.values() for a, b in combinations(sorted(c), 2)]
+    for r in rows:
+        if not r.same:
+            assert r.set1 < r.set2
+            pairs += [(min(a, b), max(a, b), r.jaccard) for a in of[r.set1] for b in of[r.set2]]
+    return sorted(pairs)
+
+
 @pytest.mark.parametrize("block,step", [(1024, 2048), (3, 2)])
 def test_indirect_jaccard(spark, small, monkeypatch, block, step):
     monkeypatch.setattr(paths, "BLOCK_SETS", block)
@@ -58,5 +73,33 @@ def test_indirect_jaccard(spark, small, monkeypatch, block, step):
     near = {a: {b for b, m, y in supplier if a != b and n == m and abs(x - y) < 1000 and round(1 - abs(x - y) / 10000, 4) >= 0.95} for a, n, x in supplier}
     sets = {d: {p for x, p, *_ in lines if x == d} for d in {x for x, *_ in lines}}
     want = jaccards({d: s.union(*(near[p] for p in s)) for d, s in sets.items()})
-    assert sorted(map(tuple, slate.QUERIES["indirect_jaccard"](spark, path).collect())) == want
+    assert expanded(slate.QUERIES["indirect_jaccard"](spark, path).collect(), sets) == want
     assert any(b > 60 for _, b, _ in want) and any(len(v) for v in near.values())
+
+
+def shuffled(spark):
+    """Records that all stages so far wrote for exchanges."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_indirect_jaccard_of_copies(spark, tmp_path, monkeypatch):
+    """Copies with shifted keys, whose balances are the same, so that each set has the copies' suppliers near its own."""
+    monkeypatch.setattr(paths, "BLOCK_SETS", 5)
+    g, copies = random.Random(9), 6
+    supplier = [(k, k % 2, float(g.randrange(0, 3000))) for k in range(12)]
+    lines = [(p, g.randrange(12), 0.01, "A") for p in range(40) for _ in range(3)]
+    path = str(tmp_path)
+    spark.createDataFrame([(p + 100 * k, s + 100 * k, d, f) for p, s, d, f in lines for k in range(copies)], "l_partkey long, l_suppkey long, l_discount double, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(s + 100 * k, n, b) for s, n, b in supplier for k in range(copies)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+    near = {a: {b for b, m, y in supplier if n == m and round(1 - abs(x - y) / 10000, 4) >= 0.95} for a, n, x in supplier}
+    sets = {p + 100 * k: {q + 100 * c for x, s, *_ in lines if x == p for q in near[s] for c in range(copies)} for p in range(40) for k in range(copies)}
+    before = shuffled(spark)
+    rows = slate.QUERIES["indirect_jaccard"](spark, path).collect()
+    # a member for each of 48 blocks before
+    assert shuffled(spark) - before < sum(map(len, sets.values()))
+    assert expanded(rows, sets) == jaccards(sets)
+    n = len({frozenset(s) for s in sets.values()})
+    assert n <= 40 and sum(not r.same for r in rows) <= n * (n - 1) // 2 and sum(r.same for r in rows) == len(sets) - n
