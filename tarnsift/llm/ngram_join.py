@@ -45,6 +45,10 @@ FLUSH = 300_000
 GROUPS = 64
 #: A block of a cell holds at most about so many points and shingles.
 BLOCK_POINTS, BLOCK_SHINGLES = 2048, 6_000_000
+#: Sets of small cells that are handed to Python together, about.
+TOGETHER = 128
+#: Shingles sorted at once to find those that several sets of a cell hold.
+SLICE = 1_000_000
 #: Shingles taken for common: at most so many, in at least LOCAL sets among COUNTED shingles and TOTAL in all such.
 COUNTED = 3_000_000
 COMMON, LOCAL, TOTAL = 200_000, 2, 6
@@ -212,26 +216,93 @@ class Forest:
         return True
 
 
+def held_twice(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values that two of the sets hold at least, and how many sets do; found by slices of their range."""
+    bits = (sum(map(len, sets)) // SLICE).bit_length()
+    edges = np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(0, _U)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    values, counts = [], []
+    for k in range(1 << bits):
+        v = np.sort(np.concatenate([s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)]))
+        starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]][:len(v)])
+        n = np.diff(np.r_[starts, len(v)])
+        values.append(v[starts[n > 1]])
+        counts.append(n[n > 1])
+    return np.concatenate(values), np.concatenate(counts)
+
+
+class Heads:
+    """The first values of each set, rarest first, of which two sets that link have one in common.
+
+    A set of n that links has at least n * num / den values in common with the other; the first of these in any
+    order that both keep has so many behind it in either set.  Values that no other set holds come first in this
+    order and meet nobody, so sets that only share some frequent passages have no head, or meet few."""
+
+    def __init__(self, sets: list[np.ndarray], t: Threshold):
+        values, counts = held_twice(sets)
+        rank = np.empty(len(values), np.int32)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(values), dtype=np.int32)
+        self.n = len(values)
+        self.codes, heads = [], []  # of the values that other sets hold too
+        for s in sets:
+            at = np.searchsorted(values, s)
+            at = at[values[np.minimum(at, len(values) - 1)] == s] if len(values) else at[:0]
+            code = np.sort(rank[at])
+            self.codes.append(code)
+            heads.append(code[:max(0, len(code) + t.num * len(s) // -t.den + 1)])
+        self.ends = np.cumsum([0, *map(len, heads)])
+        every, owners = np.concatenate(heads), np.repeat(np.arange(len(sets)), np.diff(self.ends))
+        order = np.argsort(every, kind="stable")
+        self.owners, ordered = owners[order], every[order]
+        self.first, self.last = np.searchsorted(ordered, every, "left"), np.searchsorted(ordered, every, "right")
+
+    def groups(self) -> list[np.ndarray]:
+        """Points that meet, or meet the same ones; those that meet none are in no group."""
+        lead, own = self.owners[self.first], np.repeat(np.arange(len(self.codes)), np.diff(self.ends))
+        forest = Forest(len(self.codes))
+        for i, j in np.unique(np.stack([lead, own])[:, lead != own], axis=1).T.tolist():
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(self.codes))])
+        order = np.argsort(roots, kind="stable")
+        return [g for g in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(g) > 1]
+
+    def meeting(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of near that have a value of i's head in theirs; all, where looking costs more than verifying."""
+        first, last = (x[self.ends[i]:self.ends[i + 1]] for x in (self.first, self.last))
+        n = last - first
+        if n.sum() > min(1_000_000, len(near) * max(64, len(self.codes[i]))):
+            return near
+        at = np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+        return near[np.isin(near, self.owners[at])]
+
+
 def links_within(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
     """A spanning forest of the links between points of side 0 and side 1, or among all if every side
-    is 2.  Pairs that are connected already are not verified again."""
+    is 2.  Points whose heads meet are in one tree; pairs that are connected already are not verified again."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    vectors = np.stack([count_vector(s) for s in sets])
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
-    if not len(left) or not len(right):
-        return []
-    tree, forest, out = CountTree(vectors[right], sizes[right]), Forest(len(sets)), []
-    for i in left:
-        i = int(i)
-        near = right[tree.candidates(vectors[i], int(sizes[i]), t)]
-        for j in near.tolist():
-            if j == i or (side[i] == 2 and j < i) or forest.root(i) == forest.root(j):
+    heads, forest, out = Heads(sets, t), Forest(len(sets)), []
+    mark = np.zeros(heads.n, bool)
+    for group in heads.groups():
+        left, right = group[side[group] != 1], group[side[group] != 0]
+        if not len(left) or not len(right):
+            continue
+        vectors = {int(i): count_vector(sets[i]) for i in group}
+        tree = CountTree(np.stack([vectors[int(i)] for i in right]), sizes[right])
+        for i in left:
+            i = int(i)
+            near = right[tree.candidates(vectors[i], int(sizes[i]), t)]
+            near = near[near > i if side[i] == 2 else near != i]
+            if not len(near):
                 continue
-            common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if t.den * common >= t.num * (sizes[i] + sizes[j] - common):
-                forest.join(i, j)
-                out.append((i, j))
+            mark[heads.codes[i]] = True
+            for j in heads.meeting(i, near).tolist():
+                if forest.root(i) == forest.root(j):
+                    continue
+                common = np.count_nonzero(mark[heads.codes[j]])
+                if t.den * common >= t.num * (sizes[i] + sizes[j] - common):
+                    forest.join(i, j)
+                    out.append((i, j))
+            mark[heads.codes[i]] = False
     return out
 
 
@@ -360,9 +431,9 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
 
     The sets are made again from one document of each class, and travel once, to their chunk; the chunks of
     large cells are written, and each two of a cell are read together by a task."""
-    few = cells.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
+    n_sets = cells.count()
     side = cells.withColumnRenamed("id", "_id")
-    joined = docs.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("_id")))
+    joined = docs.join(F.broadcast(side) if n_sets <= BROADCAST_MEMBERS else side, F.col("id").eqNullSafe(F.col("_id")))
 
     @tidy
     def sets_of(batches):
@@ -380,18 +451,21 @@ def cell_links(docs: DataFrame, cells: DataFrame, size: int, t: Threshold) -> Da
         sets_of, "set_id long, cell long, own int, chunks int, shingles binary")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set_id").sort_values("set_id")
-        ids = pdf.set_id.to_numpy()
-        found = links_within([np.frombuffer(x, _U) for x in pdf.shingles], np.full(len(ids), 2), t)
-        give_back()
-        out = pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
-        out = out.assign(cell=pdf.cell.iloc[0], chunk=-1, ids=None, ends=None, shingles=None)
-        if pdf.chunks.iloc[0] > 1:
-            ends = np.cumsum(pdf.shingles.str.len().to_numpy(np.int64) // 8)
-            out.loc[len(out)] = [0, 0, pdf.cell.iloc[0], pdf.own.iloc[0], ids.tobytes(), ends.tobytes(), b"".join(pdf.shingles)]
-        return out
-
-    found = materialize(rows.groupBy("cell", "own").applyInPandas(
+        out, n = [], 0
+        for (cell, own), rows in pdf.drop_duplicates("set_id").sort_values("set_id").groupby(["cell", "own"]):
+            ids, sets = rows.set_id.to_numpy(), [np.frombuffer(x, _U) for x in rows.shingles]
+            out += [(ids[i], ids[j], cell, -1, None, None, None) for i, j in links_within(sets, np.full(len(ids), 2), t)]
+            ends = np.cumsum([len(x) for x in sets], dtype=np.int64)
+            n += ends[-1]
+            if rows.chunks.iloc[0] > 1:
+                out.append((0, 0, cell, own, ids.tobytes(), ends.tobytes(), b"".join(rows.shingles)))
+        if n > FLUSH:
+            give_back()
+        return pd.DataFrame(out, columns=["a", "b", "cell", "chunk", "ids", "ends", "shingles"])
+
+    # a chunk is handed to Python alone, whole cells some together
+    deal = F.when(F.col("chunks") > 1, F.xxhash64("cell", "own")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(n_sets // TOGETHER + 1)))
+    found = materialize(rows.groupBy(deal.alias("deal")).applyInPandas(
         within, "a long, b long, cell long, chunk int, ids binary, ends binary, shingles binary"), "chunks")
     links, chunks = found.filter("chunk < 0").select("a", "b"), found.filter("chunk >= 0").drop("a", "b")
     links = materialize(links if chunks.isEmpty() else links.unionByName(links_across(chunks, t)), "links")

@@ -95,6 +95,45 @@ def test_tree_loses_nothing():
         assert linked <= set(tree.candidates(v[i], int(n[i]), t).tolist())
 
 
+def long_sets(n, g, size=1500, shared=300):
+    """n long sets that share a passage by tens, and a near copy of every ninth; count vectors alone can't tell them apart."""
+    draw = lambda k: g.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)
+    passages, sets = [draw(shared) for _ in range(n // 10 + 1)], []
+    for i in range(n):
+        sets.append(np.unique(np.r_[draw(size - shared), passages[i // 10]]))
+    return sets + [np.unique(np.r_[s[len(s) // 25:], draw(len(s) // 50)]) for s in sets[::9]]
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (80, 100), (60, 100), (1, 1)])
+@pytest.mark.parametrize("cross", [False, True])
+def test_links_within_are_all_found(monkeypatch, num, den, cross):
+    monkeypatch.setattr(ngram_join, "SLICE", 1000)
+    g, t = np.random.default_rng(3), ngram_join.Threshold(num, den)
+    base = g.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(g.choice(base, g.integers(1, 60))) for _ in range(60)] + long_sets(30, g, 200, 40)
+    sets += [s.copy() for s in sets[:80:7]]
+    side = g.integers(0, 2, len(sets)) if cross else np.full(len(sets), 2)
+    want, got = ngram_join.Forest(len(sets)), ngram_join.Forest(len(sets))
+    linked = lambda i, j: den * (c := np.intersect1d(sets[i], sets[j]).size) >= num * (len(sets[i]) + len(sets[j]) - c)
+    for i in range(len(sets)):
+        for j in range(i):
+            if (not cross or side[i] != side[j]) and linked(i, j):
+                want.join(i, j)
+    for i, j in ngram_join.links_within(sets, side, t):
+        assert linked(i, j) and (not cross or side[i] != side[j]) and got.join(i, j)
+    assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))] and len({*map(want.root, range(len(sets)))}) < len(sets)
+
+
+def test_long_sets_with_a_common_passage_are_not_verified(monkeypatch):
+    """A cell of N such sets had N * N / 2 verified pairs."""
+    sets, verified = long_sets(120, np.random.default_rng(6)), []
+    count = np.count_nonzero
+    monkeypatch.setattr(ngram_join.np, "count_nonzero", lambda x, *a, **k: verified.append(1) or count(x, *a, **k))
+    monkeypatch.setattr(ngram_join.np, "intersect1d", lambda *a, f=np.intersect1d, **k: verified.append(1) or f(*a, **k))
+    links = ngram_join.links_within(sets, np.full(len(sets), 2), ngram_join.Threshold(80, 100))
+    assert len(links) == 14 and len(verified) < 3 * len(sets)
+
+
 def test_one_of_each(spark, docs, no_docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
