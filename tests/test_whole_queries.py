@@ -3,7 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnsift.operators import paths
 from tarnsift.plans import slate
@@ -103,3 +105,18 @@ def test_indirect_jaccard_of_copies(spark, tmp_path, monkeypatch):
     assert expanded(rows, sets) == jaccards(sets)
     n = len({frozenset(s) for s in sets.values()})
     assert n <= 40 and sum(not r.same for r in rows) <= n * (n - 1) // 2 and sum(r.same for r in rows) == len(sets) - n
+
+
+def test_ratios_are_rounded_as_spark_rounds(spark):
+    """Halves go up, as 1 / 128 shows; Python rounds that one down."""
+    pairs = [(c, n) for n in [*range(1, 130), 640, 3200, 65536, 999_999, 10_000_019] for c in {*range(1, min(n, 130) + 1), n // 2 or 1, n}]
+    df = spark.createDataFrame(pairs, "c long, n long").select("c", "n", F.round(F.col("c") / F.col("n"), 6).alias("r"))
+    rows = df.collect()
+    got = paths._ratio(*(np.array([r[k] for r in rows]) for k in ("c", "n")))
+    assert got.tolist() == [r.r for r in rows] and (1, 128, 0.007813) in map(tuple, rows)
+
+
+def test_no_step_follows_the_pairs(spark, small):
+    """Each pair went through two more projections and a decimal in the JVM before."""
+    plan = slate.QUERIES["indirect_jaccard"](spark, small[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Union") and plan.splitlines()[1].lstrip(" :+-").startswith("MapInArrow")
