@@ -10,7 +10,8 @@ their sizes.  The shingles of a set are dealt by hash into more than D parts, so
 part in common, whole; a part's hash is a key.  Parts that hold few shingles besides those of passages
 that very many documents share are left out where the number of parts proves that a more telling
 common one remains.  So no link is lost, whichever shingles are taken for common.  Sets joined by keys
-form cells; each cell is indexed by R-trees, large cells in blocks.  Equal sets are one point throughout.
+form cells; each cell is indexed by R-trees, large cells in blocks, and of what they yield only sets whose
+rarest shingles meet are verified.  Equal sets are one point throughout.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; repeated
 rows and equal sets are one class; a null id counts as larger than any other; an empty table gives an
